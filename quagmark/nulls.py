@@ -17,3 +17,13 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     """Every FLOAT and DOUBLE column without NaN."""
     kinds = (T.FloatType, T.DoubleType)
     return df.select(*(known(F.col(f"`{f.name}`")).alias(f.name) if isinstance(f.dataType, kinds) else F.col(f"`{f.name}`") for f in df.schema))
+
+
+def present(df: DataFrame, *columns: str) -> DataFrame:
+    """The rows in which none of the columns is null.
+
+    One IS NOT NULL per column, which the optimiser merges with those that it infers from joins, so that branches of a plan stay alike and share their exchange.
+    """
+    for c in columns:
+        df = df.where(F.col(c).isNotNull())
+    return df

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quagmark.operators import regular, trailing
+from quagmark.operators import regular, spikes, trailing
 from quagmark.operators import timestamps as ts
+from quagmark.session import checkpointed
 from quagmark.sources.tables import table
 
 
@@ -82,6 +83,16 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_series(spark, d).where("mark <> 'ok'").select("station", "plot", F.date_format("day", "yyyy-MM-dd").alias("day"), "mark")
 
 
+def p5_states(spark: SparkSession, d: str) -> DataFrame:
+    """The flagged readings with the state that the model gives them."""
+    found = spikes.implausible(table(spark, d, "laser_hourly"), SERIES, "time_utc", "reading_id", ["surface_cm_raw", "surface_cm"], checkpointed)
+    return found.select(*SERIES, "field", F.col("rec_id").alias("reading_id"), "state", "p")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_states(spark, d).select("reading_id", "field")
+
+
 _LATEST_HOURS = """latest AS (SELECT * FROM site_hourly QUALIFY row_number() OVER (PARTITION BY station, plot, time_utc ORDER BY ingested_at DESC, row_id DESC) = 1)"""
 
 _P3_FOUND = f"""WITH {_LATEST_HOURS},
@@ -123,7 +134,7 @@ g AS (SELECT *, last_value(value IGNORE NULLS) OVER w AS carried, last_value(CAS
 
 
 def queries() -> dict:
-    return {"p2_found": p2_found, "p2_notations": p2_notations, "p3_found": p3_found, "p3_totals": p3_totals, "p4_found": p4_found, "p4_series": p4_series}
+    return {"p2_found": p2_found, "p2_notations": p2_notations, "p3_found": p3_found, "p3_totals": p3_totals, "p4_found": p4_found, "p4_series": p4_series, "p5_found": p5_found, "p5_states": p5_states}
 
 
 def oracle_sql() -> dict[str, str]:
