@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quagmark.nulls import present
 from quagmark.operators.trailing import HOURS, calendar_of
 
 
 def latest_days(df: DataFrame, series: list[str], day: str, version: str, fields: list[str]) -> DataFrame:
     """Per series and day the row of the latest ``version`` (a null version is the earliest; on a tie the greatest fields count)."""
     best = F.max(F.struct(F.coalesce(F.unix_micros(version), F.lit(-(1 << 62))).alias("__version"), *fields)).alias("__best")
-    return df.dropna(subset=[*series, day]).groupBy(*series, day).agg(best).select(*series, day, *(F.col(f"__best.{f}").alias(f) for f in fields))
+    return present(df, *series, day).groupBy(*series, day).agg(best).select(*series, day, *(F.col(f"__best.{f}").alias(f) for f in fields))
 
 
 def days_with(df: DataFrame, series: list[str], time: str, version: str, holds: Column) -> DataFrame:
@@ -21,7 +22,7 @@ def days_with(df: DataFrame, series: list[str], time: str, version: str, holds:
     which copies are combined beforehand. On equal versions a row that holds counts.
     """
     packed = F.coalesce(F.unix_micros(version), F.lit(0)) * 2 + F.coalesce(holds, F.lit(False)).cast("int")
-    slim = df.dropna(subset=[*series, time]).select(*series, F.to_date(time).alias("day"), F.hour(time).alias("__hour"), packed.alias("__p"))
+    slim = present(df, *series, time).select(*series, F.to_date(time).alias("day"), F.hour(time).alias("__hour"), packed.alias("__p"))
     slots = slim.groupBy(*series, "day").agg(*(F.max(F.when(F.col("__hour") == h, F.col("__p"))).alias(f"__h{h}") for h in range(HOURS)))
     any_holds = F.greatest(*(F.coalesce(F.pmod(F.col(f"__h{h}"), F.lit(2)), F.lit(0)) for h in range(HOURS)))
     return slots.where(any_holds == 1).select(*series, "day")
@@ -36,7 +37,7 @@ def daily_grid(readings: DataFrame, series: list[str], day: str, version: str, v
     days. Rows with a null series or day are left out; repeated rows collapse; an empty table gives an empty result.
     """
     latest = latest_days(readings, series, day, version, [value, *fields]).withColumn("__ok", F.coalesce(usable, F.lit(False)))
-    spine = calendar_of(readings.dropna(subset=[*series, day]), series, day)
+    spine = calendar_of(present(readings, *series, day), series, day)
     full = spine.join(latest, [*series, day], "left").withColumn("__ok", F.coalesce("__ok", F.lit(False)))
     full = full.withColumn("__v", F.when(F.col("__ok"), F.col(value)))
     w = Window.partitionBy(*series).orderBy(day).rowsBetween(Window.unboundedPreceding, 0)

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quagmark.nulls import present
+
 UNIT = 1_000_000
 HOURS = 24
 
@@ -27,7 +29,7 @@ def latest_hours(df: DataFrame, series: list[str], time: str, version: str, tie:
     with a null series or time belong nowhere and are left out. Times are taken to lie on whole hours; another time counts in its hour.
     """
     row = F.struct(F.coalesce(F.unix_micros(version), F.lit(-(1 << 62))).alias("__version"), F.col(tie), *fields)
-    slim = df.dropna(subset=[*series, time]).select(*series, F.to_date(time).alias("day"), F.hour(time).alias("__hour"), row.alias("__row"))
+    slim = present(df, *series, time).select(*series, F.to_date(time).alias("day"), F.hour(time).alias("__hour"), row.alias("__row"))
     slots = [F.max(F.when(F.col("__hour") == h, F.col("__row"))).alias(f"__h{h}") for h in range(HOURS)]
     return slim.groupBy(*series, "day").agg(*slots).select(*series, "day", F.array(*(F.col(f"__h{h}") for h in range(HOURS))).alias("hours"))
 
@@ -40,7 +42,7 @@ def trailing_totals(daily: DataFrame, series: list[str], day: str, amounts: list
     ``{amount}_{period}d``, in whole amounts, 0 where nothing happened. Rows with a null series or day are left out; an empty
     table gives an empty result.
     """
-    daily = daily.dropna(subset=[*series, day]).select(*series, F.col(day).alias("__day"), *(F.coalesce(F.col(a), F.lit(0)).alias(a) for a in amounts))
+    daily = present(daily, *series, day).select(*series, F.col(day).alias("__day"), *(F.coalesce(F.col(a), F.lit(0)).alias(a) for a in amounts))
     if calendar is None:
         calendar = calendar_of(daily, series, "__day").withColumnRenamed("__day", day)
     active = daily.where(" OR ".join(f"{a} <> 0" for a in amounts))
