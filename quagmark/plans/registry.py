@@ -2,18 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from quagmark.plans import book, dealt, grids, numbers, series  # noqa: F401
 
-from pyspark.sql import DataFrame, SparkSession
 
-from quagmark.plans import dealt
-
-Query = Callable[[SparkSession, str], DataFrame]
-
-
-def queries() -> dict[str, Query]:
-    return {**dealt.queries()}
+def queries() -> dict[str, book.Query]:
+    return {**dealt.queries(), **book.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**dealt.oracle_sql()}
+    return {**dealt.oracle_sql(), **book.SQL}
