@@ -28,18 +28,17 @@ START = np.array([0.94, 0.02, 0.02, 0.02])
 MOVES = np.array([[0.965, 0.020, 0.005, 0.010], [0.600, 0.380, 0.010, 0.010], [0.050, 0.010, 0.930, 0.010], [0.500, 0.010, 0.010, 0.480]])
 
 
-def with_context(blocks: DataFrame, series: list[str], block: str, array: str, n: int) -> DataFrame:
-    """``blocks`` with ``prev`` and ``next``: the last ``n`` elements of ``array`` before and the first ``n`` after each block of its series.
+def edges(blocks: DataFrame, series: list[str], block: str, array: str, n: int) -> DataFrame:
+    """(series, block, prev, next): the last ``n`` elements of ``array`` before and the first ``n`` after each block of its series.
 
-    The window runs over the blocks' edges only (at most 2n elements each), not over the blocks themselves. Every block must have an element.
+    The window runs over the blocks' ends only (at most 2n elements each), not over the blocks themselves. Every block must have an element.
     """
     ends = blocks.select(*series, block, F.slice(array, 1, n).alias("__head"), F.when(F.size(array) > n, F.slice(array, -n, n)).otherwise(F.col(array)).alias("__tail"))
     w = Window.partitionBy(*series).orderBy(block)
     before = F.flatten(F.collect_list("__tail").over(w.rowsBetween(-n, -1)))
     after = F.flatten(F.collect_list("__head").over(w.rowsBetween(1, n)))
-    edges = ends.select(*series, block, before.alias("__b"), F.slice(after, 1, n).alias("next"))
-    edges = edges.select(*series, block, F.when(F.size("__b") > n, F.slice("__b", -n, n)).otherwise(F.col("__b")).alias("prev"), "next")
-    return blocks.join(edges, [*series, block])
+    both = ends.select(*series, block, before.alias("__b"), F.slice(after, 1, n).alias("next"))
+    return both.select(*series, block, F.when(F.size("__b") > n, F.slice("__b", -n, n)).otherwise(F.col("__b")).alias("prev"), "next")
 
 
 def flat(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -183,12 +182,16 @@ def value_blocks(df: DataFrame, series: list[str], time: str, rec_id: str, field
     with a null series, time or id are left out.
     """
     once = present(df, *series, time, rec_id).groupBy(*series, F.unix_micros(time).alias("__t")).agg(F.min(F.struct(F.col(rec_id).cast("long").alias("id"), *fields)).alias("__r"))
-    names = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f"__r.{f}").cast("double").alias("v")) for f in fields))
-    each = once.select(*series, "__t", F.col("__r.id").alias("id"), F.inline(names)).where("v IS NOT NULL")
     width = days * 86_400_000_000
-    placed = each.withColumn("block", F.expr(f"(__t - pmod(__t, {width}L)) div {width}L"))
-    lists = placed.groupBy(*series, "field", "block").agg(F.array_sort(F.collect_list(F.struct("__t", "id", "v"))).alias("pts"))
-    return lists.select(*series, "field", "block", F.col("pts.id").alias("id"), F.col("pts.v").alias("v"))
+    placed = once.select(*series, F.expr(f"(__t - pmod(__t, {width}L)) div {width}L").alias("block"), F.struct("__t", "__r.*").alias("__p"))
+    lists = placed.groupBy(*series, "block").agg(F.array_sort(F.collect_list("__p")).alias("__s"))
+
+    def of(f: str):
+        own = F.filter("__s", lambda x: x[f].isNotNull())
+        return F.struct(F.lit(f).alias("field"), F.transform(own, lambda x: x["id"]).alias("id"), F.transform(own, lambda x: x[f].cast("double")).alias("v"))
+
+    split = lists.select(*series, "block", F.inline(F.array(*map(of, fields))))
+    return split.select(*series, "field", "block", "id", "v").where(F.size("v") > 0)
 
 
 def implausible(df: DataFrame, series: list[str], time: str, rec_id: str, fields: list[str], keep: Callable[[DataFrame], DataFrame], bounds: tuple[float, float] = (-100.0, 100.0), stuck_run: int = 12, times: float = 10.0, days: int = 8) -> DataFrame:
@@ -204,12 +207,12 @@ def implausible(df: DataFrame, series: list[str], time: str, rec_id: str, fields
     blocks = value_blocks(df, series, time, rec_id, fields, days)
     types = {f.name: f.dataType.simpleString() for f in blocks.schema}
     schema = ", ".join(f"`{k}` {types[k]}" for k in [*key, "block"])
-    judged = with_context(blocks, key, "block", "v", stuck_run - 1)
+    judged = blocks.join(edges(blocks, key, "block", "v", stuck_run - 1), [*key, "block"])
     judged = keep(judged.mapInArrow(_first_rules(bounds, stuck_run, [*key, "block"]), f"{schema}, id array<long>, out array<boolean>, run array<int>, clean array<long>, step array<long>"))
     counts = judged.select(*key, F.explode("step").alias("step")).groupBy(*key, "step").agg(F.count("*").alias("n"))
     medians = counts.groupBy(*key).agg(F.expr("percentile(step, 0.5, n)").alias("median"))
-    around = with_context(judged.where(F.size("clean") > 0).select(*key, "block", "clean"), key, "block", "clean", SPIKE_VALUES + 1)
-    ready = judged.drop("clean", "step").join(around, [*key, "block"], "left").join(medians, key, "left")
+    around = edges(judged.where(F.size("clean") > 0), key, "block", "clean", SPIKE_VALUES + 1).join(medians, key, "left")
+    ready = judged.drop("step").join(around, [*key, "block"], "left")
     ready = ready.select(*key, "id", "out", "run", *(F.coalesce(c, F.array().cast("array<bigint>")).alias(c) for c in ("clean", "prev", "next")), "median")
     shown = ", ".join(f"`{k}` {types[k]}" for k in key)
     return ready.mapInArrow(_probabilities(stuck_run, times, key), f"{shown}, rec_id long, state string, p double")
