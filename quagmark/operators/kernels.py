@@ -72,8 +72,8 @@ def link_phases(pairs: DataFrame, on: list[str], t1: str, t2: str, phase: str, c
     return per_group(usable.select(*on, t1, t2, phase, coh), on, kernel, "t long, phase double, tcoh double")
 
 
-def ou_smooth(pairs: DataFrame, on: list[str], t1: str, t2: str, y: str, sd: str, tau_days: float, sigma: float, cycle: float = 0.0, min_gain: float = 9.0, rounds: int = 5) -> DataFrame:
-    """Per key the posterior (t, mean, sd) of an Ornstein-Uhlenbeck level given differences over pairs; with a ``cycle``, whole cycles are taken off a pair while that lowers the misfit by ``min_gain``."""
+def ou_smooth(pairs: DataFrame, on: list[str], t1: str, t2: str, y: str, sd: str, tau_days: float, sigma: float, cycle: float = 0.0, min_gain: float = 9.0, rounds: int = 50) -> DataFrame:
+    """Per key the posterior (t, mean, sd) of an Ornstein-Uhlenbeck level given differences over pairs; with a ``cycle``, whole cycles are taken off one pair after the other, at most ``rounds`` times, while that lowers minus twice the log-likelihood by ``min_gain``."""
     usable = pairs.where(F.col(y).isNotNull() & (F.col(sd) > 0))
 
     def kernel(pdf: pd.DataFrame) -> dict:
@@ -95,16 +95,17 @@ def ou_smooth(pairs: DataFrame, on: list[str], t1: str, t2: str, y: str, sd: str
         w = 1 / pdf[sd].to_numpy(float) ** 2
         obs = pdf[y].to_numpy(float).copy()
         cov = np.linalg.inv(q + d.T @ (d * w[:, None]))
-        for _ in range(rounds if cycle else 1):
-            mean = cov @ (d.T @ (w * obs))
-            if cycle:
-                left = obs - d @ mean
-                turns = np.rint(left / cycle)
-                gain = w * (left**2 - (left - turns * cycle) ** 2)
-                flip = (turns != 0) & (gain >= min_gain)
-                if not flip.any():
-                    break
-                obs[flip] -= turns[flip] * cycle
+        # precision of the observations with the level integrated out: what an observation says against all others
+        g = np.diag(w) - (w[:, None] * d) @ cov @ (d.T * w)
+        for _ in range(rounds if cycle else 0):
+            pull, own = g @ obs, np.diag(g)
+            turns = np.rint(pull / (own * cycle))
+            gain = 2 * cycle * turns * pull - (cycle * turns) ** 2 * own
+            k = int(gain.argmax())
+            if turns[k] == 0 or gain[k] < min_gain:
+                break
+            obs[k] -= turns[k] * cycle
+        mean = cov @ (d.T @ (w * obs))
         return {"t": dates.astype(int), "mean": mean, "sd": np.sqrt(np.diag(cov))}
 
     return per_group(usable.select(*on, t1, t2, y, sd), on, kernel, "t long, mean double, sd double")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quagmark.functions.scalar import WAVELENGTH_MM, datum, round_to_hour, season
 from quagmark.operators.islands import chain
-from quagmark.operators.stats import agreement, detrended
+from quagmark.operators.stats import agreement, detrended, joined
 
 
 class LockedError(ValueError):
@@ -57,7 +57,7 @@ def increments(df: DataFrame, on: list[str], truth: str, est: str, wavelength_mm
     """Agreement of increments, with the share within a quarter wavelength."""
     known = df.where(F.col(truth).isNotNull() & F.col(est).isNotNull())
     near = known.groupBy(*on).agg(F.avg((F.abs(F.col(est) - F.col(truth)) < wavelength_mm / 4).cast("double")).alias("within"))
-    return agreement(known, on, truth, est).join(near, on) if on else agreement(known, on, truth, est).join(near, how="cross")
+    return joined(agreement(known, on, truth, est), near, on)
 
 
 def level_stats(viewed: DataFrame, on: list[str], protocol: Protocol) -> DataFrame:

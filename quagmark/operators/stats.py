@@ -14,6 +14,11 @@ def both(x: Column, y: Column) -> Column:
     return x.isNotNull() & y.isNotNull()
 
 
+def joined(a: DataFrame, b: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """``a`` with the one row of ``b`` per key; without keys ``b`` has one row in all."""
+    return a.join(b, on, how) if on else a.join(b, how="cross")
+
+
 def corr(x: Column | str, y: Column | str) -> Column:
     """Pearson's r over the rows in which both are known; null without spread (where the built-in raises an error in ANSI mode)."""
     x, y = (F.col(c) if isinstance(c, str) else c for c in (x, y))
@@ -90,7 +95,7 @@ def harmonic(df: DataFrame, on: list[str], years: Column, y: Column, min_n: int
 def detrended(df: DataFrame, on: list[str], x: str, y: str, name: str) -> DataFrame:
     """``df`` with the residual of y from its line in x."""
     line = lines(df, on, x, y).select(*on, F.col("slope").alias("__s"), F.col("intercept").alias("__i"))
-    return df.join(line, on, "left").withColumn(name, F.col(y) - F.col("__i") - F.col("__s") * F.col(x)).drop("__s", "__i")
+    return joined(df, line, on, "left").withColumn(name, F.col(y) - F.col("__i") - F.col("__s") * F.col(x)).drop("__s", "__i")
 
 
 def leave_one_group_out_slope(df: DataFrame, group: str, x: str, y: str, min_train: int = 6) -> DataFrame:
@@ -166,7 +171,7 @@ def theil_sen(df: DataFrame, on: list[str], x: str, y: str) -> DataFrame:
     """The median of all pairwise slopes, Kendall's tau-b and the number of pairs; for short yearly series (all pairs of a key are formed)."""
     a = df.dropna(subset=[x, y]).select(*on, F.col(x).alias("x1"), F.col(y).alias("y1"))
     b = a.select(*on, F.col("x1").alias("x2"), F.col("y1").alias("y2"))
-    p = a.join(b, on).where("x2 > x1").withColumn("s", F.signum(F.col("y2") - F.col("y1")))
+    p = joined(a, b, on).where("x2 > x1").withColumn("s", F.signum(F.col("y2") - F.col("y1")))
     g = p.groupBy(*on).agg(F.median((F.col("y2") - F.col("y1")) / (F.col("x2") - F.col("x1"))).alias("slope"), F.sum("s").alias("__s"), F.count("*").alias("pairs"), F.count_if(F.col("s") == 0).alias("__ties"))
     return g.select(*on, "slope", F.try_divide(F.col("__s"), F.sqrt(F.col("pairs") * (F.col("pairs") - F.col("__ties")))).alias("tau"), "pairs")
 
@@ -184,7 +189,7 @@ def bh_qvalues(df: DataFrame, on: list[str], p: str, tie: str) -> DataFrame:
 def robust_sd(df: DataFrame, on: list[str], value: str) -> DataFrame:
     """Per key median and 1.4826 times the median absolute deviation."""
     m = df.groupBy(*on).agg(F.median(value).alias("median"))
-    return df.join(m, on).groupBy(*on).agg(F.first("median").alias("median"), (1.4826 * F.median(F.abs(F.col(value) - F.col("median")))).alias("robust_sd"), F.count(value).alias("n"))
+    return joined(df, m, on).groupBy(*on).agg(F.first("median").alias("median"), (1.4826 * F.median(F.abs(F.col(value) - F.col("median")))).alias("robust_sd"), F.count(value).alias("n"))
 
 
 def weighted_median(df: DataFrame, on: list[str], value: str, weight: str) -> DataFrame:
@@ -213,7 +218,7 @@ def agreement(df: DataFrame, on: list[str], truth: str, est: str) -> DataFrame:
     d = df.where(both(F.col(truth), F.col(est)))
     m = d.groupBy(*on).agg(F.avg(truth).alias("__m"))
     e = F.col(est) - F.col(truth)
-    g = d.join(m, on).groupBy(*on).agg(
+    g = joined(d, m, on).groupBy(*on).agg(
         F.count("*").alias("n"), corr(truth, est).alias("__r"), F.avg(e).alias("bias"), F.sqrt(F.avg(e * e)).alias("rmse"), F.sum(F.col(truth) * F.col(est)).alias("__te"), F.sum(F.col(truth) * F.col(truth)).alias("__tt"),
         F.sum(e * e).alias("__ee"), F.sum((F.col(truth) - F.col("__m")) * (F.col(truth) - F.col("__m"))).alias("__vv"), F.stddev_pop(truth).alias("__st"), F.stddev_pop(est).alias("__se"),
     )

@@ -164,10 +164,10 @@ def phase_biases(spark: SparkSession, d: str) -> DataFrame:
     return rounded(models.phase_biases(rain_days(spark, d), SERIES, "day", "rain", "air", "tmax").select(*SERIES, "day", "c2", "c3"), 5)
 
 
-@query("""WITH e AS (SELECT event_id, event_type, user_id % 10 AS seg, value, CASE WHEN user_id % 3 = 0 THEN 50.0 END AS prior FROM events) SELECT event_id, round(value + coalesce(avg(prior - value) OVER (PARTITION BY event_type, seg), 0), 5) AS level FROM e""")
+@query("""WITH e AS (SELECT event_id, event_type, user_id % 10 AS seg, value, CASE WHEN user_id % 3 = 0 THEN 50.0 END AS prior FROM events) SELECT event_id, round(value + coalesce(avg(prior - value) OVER (PARTITION BY event_type, seg), 0), 9) AS level FROM e""")
 def tied_segments(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").select("event_id", "event_type", (F.col("user_id") % 10).alias("seg"), F.col("value").alias("level"), F.when(F.col("user_id") % 3 == 0, 50.0).alias("prior"))
-    return rounded(models.tie_segments(e, ["event_type"], "seg", "level", "prior").select("event_id", "level"), 5)
+    return rounded(models.tie_segments(e, ["event_type"], "seg", "level", "prior").select("event_id", "level"), 9)
 
 
 @query()

@@ -7,16 +7,23 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from quagmark.functions.scalar import status_value
 
 
+def from_bytes(text: Column, encoding: str) -> Column:
+    """A text that was read as ISO 8859-1 in the single-byte encoding that it really has: Spark reads few encodings, but that one keeps every byte."""
+    high = bytes(range(0x80, 0x100))
+    return F.translate(text, high.decode("iso-8859-1"), "".join(bytes([b]).decode(encoding, "replace") for b in high))
+
+
 def weather_csv(spark: SparkSession, path: str, columns: list[str], encoding: str = "cp1250") -> DataFrame:
     """A headerless weather file: for every value column ``x`` with a status column ``x_status`` the status decides; decimal commas are read."""
-    raw = spark.read.csv(path, schema=", ".join(f"`{c}` string" for c in columns), encoding=encoding)
+    raw = spark.read.csv(path, schema=", ".join(f"`{c}` string" for c in columns), encoding="iso-8859-1")
+    raw = raw.select(*(from_bytes(F.col(f"`{c}`"), encoding).alias(c) for c in columns))
     out = []
     for c in columns:
         if c.endswith("_status"):
