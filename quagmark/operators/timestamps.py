@@ -202,6 +202,15 @@ def _clock(g: dict[str, str | None], iso: bool) -> int | None:
     return (h * 60 + mi) * MINUTE_US + s * 1_000_000 + part
 
 
+_AS_FIVE = str.maketrans("0123456789", "5" * 10)
+
+
+@lru_cache(maxsize=65536)
+def _fitting(shape: str) -> list[tuple[str, re.Pattern[str], str]]:
+    """The notations that a text of this shape, its digits all written 5, can be in."""
+    return [x for x in NOTATIONS if x[1].match(shape)]
+
+
 def interpretations(text: str | None, zone: str | None, place: str | None, order: str | None, day: int | None) -> list[tuple[int, str, bool]]:
     """Every valid interpretation of a text: (UTC microseconds, notation, whether the source's conventions allow it).
 
@@ -212,7 +221,7 @@ def interpretations(text: str | None, zone: str | None, place: str | None, order
     found: dict[tuple[int, str, bool], None] = {}
     if len(text) < 4 or len(text) > 80:
         return []
-    for notation, pattern, kind in NOTATIONS:
+    for notation, pattern, kind in _fitting(text.translate(_AS_FIVE)):
         match = pattern.match(text)
         if match is None:
             continue
