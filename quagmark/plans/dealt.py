@@ -14,12 +14,12 @@ from quagmark.sources.tables import table
 def instants(spark: SparkSession, d: str, tabs: tuple[str, ...] = ("s1_acquisitions", "laser_flags", "interpolated")) -> DataFrame:
     """The UTC instants of the text stamps of the three tables, under the conventions of each."""
     places = table(spark, d, "stations").select("station", "tz", "date_order")
-    placed = lambda name: table(spark, d, name).join(places, "station", "left")
+    placed = lambda name, *columns: table(spark, d, name).select("station", "plot", *columns).join(places, "station", "left")
     source = ["station", "plot"]
     known = {
-        "s1_acquisitions": lambda: ts.stamps(placed("s1_acquisitions"), "s1_acquisitions", "acq_id", "overpass_utc", source, F.lit("UTC"), F.col("tz"), F.col("date_order"), F.col("date")),
-        "laser_flags": lambda: ts.stamps(placed("laser_flags"), "laser_flags", "flag_id", "time_utc", source, F.coalesce("clock", "tz"), F.col("tz"), F.col("date_order")),
-        "interpolated": lambda: ts.stamps(placed("interpolated"), "interpolated", "interp_id", "start", source, F.col("tz"), F.col("tz"), F.col("date_order")),
+        "s1_acquisitions": lambda: ts.stamps(placed("s1_acquisitions", "acq_id", "overpass_utc", "date"), "s1_acquisitions", "acq_id", "overpass_utc", source, F.lit("UTC"), F.col("tz"), F.col("date_order"), F.col("date")),
+        "laser_flags": lambda: ts.stamps(placed("laser_flags", "flag_id", "time_utc", "clock"), "laser_flags", "flag_id", "time_utc", source, F.coalesce("clock", "tz"), F.col("tz"), F.col("date_order")),
+        "interpolated": lambda: ts.stamps(placed("interpolated", "interp_id", "start"), "interpolated", "interp_id", "start", source, F.col("tz"), F.col("tz"), F.col("date_order")),
     }
     return ts.resolve(*(known[t]() for t in tabs))
 
