@@ -20,6 +20,7 @@ def nearest_in_days(left: DataFrame, right: DataFrame, on: list[str], left_day:
     each matched, repeated right rows give the smallest id. Columns of ``right`` other than those named play no part, so
     clashing names are no matter; an empty side is allowed.
     """
+    left = left.drop("match_id", "match_day")
     keys = [f"__k{i}" for i in range(len(on))]
     r = right.select(*(F.col(c).alias(k) for c, k in zip(on, keys, strict=True)), F.col(right_day).cast("date").alias("__d"), F.col(right_id).alias("__id")).dropna()
     r = r.groupBy(*keys, "__d").agg(F.min("__id").alias("__id"))
@@ -36,6 +37,7 @@ def nearest_in_time(left: DataFrame, right: DataFrame, on: list[str], left_us: s
     A tick is a ``ticks``-th of the tolerance. On a tie the earlier instant wins, then the smaller id. Nulls, repeated rows,
     clashing names and empty sides are treated as in ``nearest_in_days``.
     """
+    left = left.drop("match_id", "match_us")
     width = max(1, tolerance_us // ticks)
     reach = -(-tolerance_us // width)
     keys = [f"__k{i}" for i in range(len(on))]

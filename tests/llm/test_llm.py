@@ -22,7 +22,7 @@ def test_nearest_in_time_against_brute_force(spark):
     right = [(i, rng.choice("abc"), rng.randrange(0, 900 * minute)) for i in range(120)]
     right += [(500 + i, k, t) for i, (_, k, t) in enumerate(right[:40])]  # repeated readings
     right += [(900, "a", None), (901, None, 5), (902, "a", left[0][2]), (903, "a", left[0][2] + 60 * minute if left[0][2] else 0)]
-    ldf = spark.createDataFrame(left + left[:5], "id long, k string, t long")
+    ldf = spark.createDataFrame(left + left[:5], "id long, k string, t long").withColumn("match_id", F.lit("clash"))
     rdf = spark.createDataFrame(right, "id long, k string, t long").withColumn("match_us", F.lit(1))
     out = nearest_time.nearest_in_time(ldf, rdf, ["k"], "t", "t", "id", 60 * minute).collect()
     assert len(out) == len(left) + 5
