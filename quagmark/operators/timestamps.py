@@ -2,8 +2,9 @@
 
 Every text is turned into an array of its valid interpretations (notation, day-month order, zone, side of a clock change).
 A Viterbi pass over each source's records then chooses one per record: an interpretation against the source's reading
-convention costs most, a change of notation and a step back in time cost a little. The record counts as decided only if
-exactly one instant is left among the interpretations that the conventions allow.
+convention costs most, a change of notation and a step back in time cost a little. A pass back gives the margin of the
+choice, which is how much dearer the cheapest path through any other instant of the record is. A record is decided if its
+margin is large enough: at ``CONVENTION_MARGIN`` only the conventions can decide, at ``ORDER_MARGIN`` the record order may too.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from calendar import monthrange
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from datetime import UTC, date, datetime, timedelta
 from functools import lru_cache
 from zoneinfo import ZoneInfo
@@ -68,12 +69,17 @@ NOTATIONS: list[tuple[str, re.Pattern[str], str]] = [
     ("month_day", re.compile(rf"^{_WDAY}{_NAME}[\s\-]+(?P<d>\d{{1,2}}){_ORD},?[\s\-]+(?P<y>\d{{4}})(?:[Tt]|,?\s+){_CLOCK}{_TAIL}"), "named"),
     ("year_month_name", re.compile(rf"^(?P<y>\d{{4}})[\-\s/]+{_NAME}[\-\s/]+(?P<d>\d{{1,2}})(?:[Tt]|,?\s+){_CLOCK}{_TAIL}"), "named"),
     ("time", re.compile(rf"^[Tt]?{_CLOCK}{_TAIL}"), "time"),
-    ("time_basic", re.compile(r"^[Tt]?(?P<h>\d{2})(?P<mi>\d{2})(?P<s>\d{2})?(?:[.,](?P<f>\d+))?(?:\s*(?P<zone>[Zz]|[+\-−]\d{2}(?::?\d{2})?))?$"), "time"),
+    ("time_12h", re.compile(rf"^{_BARE_12H}{_TAIL}"), "time"),
+    ("time_hour", re.compile(r"^[Tt](?P<h>\d{2})(?:[.,](?P<f>\d+))?(?:\s*(?P<zone>[Zz]|[+\-−]\d{2}(?::?\d{2})?))?$"), "time"),
+    # four digits and two are a year and its month where they can be, hence no time of day with an offset
+    ("time_basic", re.compile(r"^(?!(?:19|20)\d\d-(?:0[1-9]|1[0-2])$)[Tt]?(?P<h>\d{2})(?P<mi>\d{2})(?P<s>\d{2})?(?:[.,](?P<f>\d+))?(?:\s*(?P<zone>[Zz]|[+\-−]\d{2}(?::?\d{2})?))?$"), "time"),
 ]
-_ISO = {"iso_extended", "iso_hour", "iso_basic", "basic_date", "iso_ordinal", "iso_ordinal_basic", "iso_week", "iso_week_basic", "digits", "year_first", "time", "time_basic"}
+_ISO = {"iso_extended", "iso_hour", "iso_basic", "basic_date", "iso_ordinal", "iso_ordinal_basic", "iso_week", "iso_week_basic", "digits", "year_first", "time", "time_basic", "time_hour"}
 
 #: Costs of the Viterbi pass.
 AGAINST_CONVENTION, NOTATION_SWITCH, BACK_IN_TIME = 1000.0, 1.0, 2.0
+#: Margins from which a record is decided. A record's place in the order can cost at most two switches and two steps back.
+CONVENTION_MARGIN, ORDER_MARGIN = AGAINST_CONVENTION / 2, BACK_IN_TIME
 
 
 @lru_cache(maxsize=None)
@@ -183,6 +189,14 @@ def _day(y: int, m: int, d: int) -> int | None:
     return date(y, m, d).toordinal() - 719163
 
 
+def _whole(digits: str) -> int:
+    """A whole number of any length (``int`` refuses more than some thousand digits)."""
+    n = 0
+    for k in range(0, len(digits), 1000):
+        n = n * 10 ** len(digits[k : k + 1000]) + int(digits[k : k + 1000])
+    return n
+
+
 def _clock(g: dict[str, str | None], iso: bool) -> int | None:
     """Microseconds since midnight; None for an impossible time. A fraction belongs to the last part that is given."""
     h, mi, s = int(g["h"]), int(g.get("mi") or 0), int(g.get("s") or 0)
@@ -196,7 +210,7 @@ def _clock(g: dict[str, str | None], iso: bool) -> int | None:
     part = 0
     if fraction:
         unit = 1_000_000 if g.get("s") else MINUTE_US if g.get("mi") else 60 * MINUTE_US
-        part = int(fraction) * unit // 10 ** len(fraction)
+        part = _whole(fraction) * unit // 10 ** len(fraction)
     if h > 23:
         return DAY_US if iso and h == 24 and mi == s == part == 0 else None
     return (h * 60 + mi) * MINUTE_US + s * 1_000_000 + part
@@ -205,6 +219,10 @@ def _clock(g: dict[str, str | None], iso: bool) -> int | None:
 _AS_FIVE = str.maketrans("0123456789", "5" * 10)
 
 
+#: Longer texts, which are rare, are not remembered by their shape, and white space in them is drawn together so that matching stays linear.
+SHORT = 80
+
+
 @lru_cache(maxsize=65536)
 def _fitting(shape: str) -> list[tuple[str, re.Pattern[str], str]]:
     """The notations that a text of this shape, its digits all written 5, can be in."""
@@ -219,9 +237,11 @@ def interpretations(text: str | None, zone: str | None, place: str | None, order
     """
     text = "" if text is None else text.strip()
     found: dict[tuple[int, str, bool], None] = {}
-    if len(text) < 4 or len(text) > 80:
+    if not text:
         return []
-    for notation, pattern, kind in _fitting(text.translate(_AS_FIVE)):
+    if len(text) > SHORT:
+        text = re.sub(r"\s+", " ", text)
+    for notation, pattern, kind in _fitting(text.translate(_AS_FIVE)) if len(text) <= SHORT else NOTATIONS:
         match = pattern.match(text)
         if match is None:
             continue
@@ -284,67 +304,75 @@ def _in_range(us: int) -> bool:
     return _RANGE[0] <= us < _RANGE[1]
 
 
-def best_path(states: list[list[tuple[int, str, bool]]], before: tuple[int, str] | None = None) -> list[int]:
-    """The cheapest choice of one interpretation per record (Viterbi); records without any are passed over (-1)."""
-    chosen = [-1] * len(states)
+def best_path(states: list[list[tuple[int, str, bool]]], before: tuple[int, str] | None = None) -> list[tuple[int, float]]:
+    """The cheapest choice of one interpretation per record (Viterbi) with its margin; records without any are passed over (-1, 0).
+
+    The margin is what the cheapest path through another instant of the record costs more, infinite where there is no other.
+    """
+    chosen = [(-1, 0.0)] * len(states)
+    known = [k for k, options in enumerate(states) if options]
+
+    def step(p: tuple[int, str] | None, us: int, name: str) -> float:
+        return 0.0 if p is None else NOTATION_SWITCH * (p[1] != name) + BACK_IN_TIME * (us < p[0])
+
+    ahead: list[list[float]] = []
     costs: list[float] = [0.0]
     previous: list[tuple[int, str] | None] = [before]
-    trail: list[tuple[int, list[int]]] = []
-    for k, options in enumerate(states):
-        if not options:
-            continue
-        now, back = [], []
-        for us, name, allowed in options:
-            step = [c + (0.0 if p is None else NOTATION_SWITCH * (p[1] != name) + BACK_IN_TIME * (us < p[0])) for c, p in zip(costs, previous, strict=True)]
-            least = min(range(len(step)), key=step.__getitem__)
-            now.append(step[least] + (0.0 if allowed else AGAINST_CONVENTION))
-            back.append(least)
-        costs, previous = now, [(us, name) for us, name, _ in options]
-        trail.append((k, back))
-    at = min(range(len(costs)), key=costs.__getitem__)
-    for k, back in reversed(trail):
-        chosen[k] = at
-        at = back[at]
+    for k in known:
+        costs = [min(c + step(p, us, name) for c, p in zip(costs, previous, strict=True)) + (0.0 if allowed else AGAINST_CONVENTION) for us, name, allowed in states[k]]
+        previous = [(us, name) for us, name, _ in states[k]]
+        ahead.append(costs)
+    rest: list[float] = []
+    later: list[tuple[int, str, bool]] = []
+    for k, costs in zip(reversed(known), reversed(ahead), strict=True):
+        options = states[k]
+        rest = [min((step((us, name), u, m) + (0.0 if ok else AGAINST_CONVENTION) + r for (u, m, ok), r in zip(later, rest, strict=True)), default=0.0) for us, name, _ in options]
+        later = options
+        through = [c + r for c, r in zip(costs, rest, strict=True)]
+        at = min(range(len(through)), key=through.__getitem__)
+        chosen[k] = at, min((c for c, x in zip(through, options, strict=True) if x[0] != options[at][0]), default=float("inf")) - through[at]
     return chosen
 
 
 INSTANT_SCHEMA = "tab string, rec_id long, epoch_us long, notation string, n_readings int, decided boolean"
 
 
-def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Batches in the order of (source, record): a source's records are held until one with a single interpretation, which no later record can change."""
-    key: tuple | None = None
-    before: tuple[int, str] | None = None
-    held: list[tuple[str, int, list[tuple[int, str, bool]]]] = []
-
-    def flush() -> list[tuple]:
-        nonlocal before
-        rows = []
-        for (tab, rec, options), k in zip(held, best_path([x[2] for x in held], before), strict=True):
-            instants = {us for us, _, allowed in options if allowed}
-            decided = len(instants) == 1
-            us, name = (options[k][0], options[k][1]) if k >= 0 else (None, None)
-            if k >= 0:
-                before = (us, name)
-            rows.append((tab, rec, us if decided else None, name, len(instants), decided))
-        held.clear()
-        return rows
-
-    for batch in batches:
-        out = []
-        cols = [batch[c].tolist() for c in ("tab", "rec_id", "text", "zone", "place", "date_order", "day", "source", "block")]
-        for tab, rec, text, zone, place, order, day, source, block in zip(*cols, strict=True):
-            if key != (source, block):
-                out += flush()
-                key, before = (source, block), None
-            options = interpretations(text if isinstance(text, str) else None, zone if isinstance(zone, str) else None, place if isinstance(place, str) else None, order if isinstance(order, str) else None, None if pd.isna(day) else int(day))
-            held.append((tab, rec, options))
-            if len(options) == 1:
-                out += flush()
-        if out:
-            yield _frame(out)
-    if held:
-        yield _frame(flush())
+def _reader(least_margin: float) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Batches in the order of (source, record): a source's records are held until one with a single interpretation, which no later record can change."""
+        key: tuple | None = None
+        before: tuple[int, str] | None = None
+        held: list[tuple[str, int, list[tuple[int, str, bool]]]] = []
+
+        def flush() -> list[tuple]:
+            nonlocal before
+            rows = []
+            for (tab, rec, options), (k, margin) in zip(held, best_path([x[2] for x in held], before), strict=True):
+                us, name, allowed = options[k] if k >= 0 else (None, None, False)
+                decided = allowed and margin >= least_margin
+                if k >= 0:
+                    before = (us, name)
+                rows.append((tab, rec, us if decided else None, name, len({u for u, _, ok in options if ok}), decided))
+            held.clear()
+            return rows
+
+        for batch in batches:
+            out = []
+            cols = [batch[c].tolist() for c in ("tab", "rec_id", "text", "zone", "place", "date_order", "day", "source", "block")]
+            for tab, rec, text, zone, place, order, day, source, block in zip(*cols, strict=True):
+                if key != (source, block):
+                    out += flush()
+                    key, before = (source, block), None
+                options = interpretations(text if isinstance(text, str) else None, zone if isinstance(zone, str) else None, place if isinstance(place, str) else None, order if isinstance(order, str) else None, None if pd.isna(day) else int(day))
+                held.append((tab, rec, options))
+                if len(options) == 1:
+                    out += flush()
+            if out:
+                yield _frame(out)
+        if held:
+            yield _frame(flush())
+
+    return read
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
@@ -359,7 +387,7 @@ def stamps(
 
     zone, place, date_order, day: see ``interpretations``. source: the columns that name the source whose record order (by
     ``rec_id``) the Viterbi pass follows; a chain restarts after ``records_per_chain`` ids, so that as ids are unique no task
-    holds more of a source than that, however large the source. Null, empty, blank, overlong and unreadable texts give
+    holds more of a source than that, however large the source. Null, empty, blank and unreadable texts, however long, give
     decided = false and no instant; a null source is a source of its own; repeated rows come out as often as they go in;
     columns of other names are ignored; an empty table gives an empty result.
     """
@@ -377,9 +405,9 @@ def stamps(
     )
 
 
-def resolve(*slim: DataFrame) -> DataFrame:
-    """The instants of one or more tables prepared by ``stamps``, in one shuffle."""
+def resolve(*slim: DataFrame, least_margin: float = CONVENTION_MARGIN) -> DataFrame:
+    """The instants of one or more tables prepared by ``stamps``, in one shuffle; ``least_margin`` says what may decide a record."""
     every = slim[0]
     for x in slim[1:]:
         every = every.unionByName(x)
-    return every.repartition("source", "block").sortWithinPartitions("source", "block", "rec_id").mapInPandas(_read, INSTANT_SCHEMA)
+    return every.repartition("source", "block").sortWithinPartitions("source", "block", "rec_id").mapInPandas(_reader(least_margin), INSTANT_SCHEMA)

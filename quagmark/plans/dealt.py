@@ -11,7 +11,7 @@ from quagmark.session import checkpointed
 from quagmark.sources.tables import table
 
 
-def instants(spark: SparkSession, d: str, tabs: tuple[str, ...] = ("s1_acquisitions", "laser_flags", "interpolated")) -> DataFrame:
+def instants(spark: SparkSession, d: str, tabs: tuple[str, ...] = ("s1_acquisitions", "laser_flags", "interpolated"), least_margin: float = ts.CONVENTION_MARGIN) -> DataFrame:
     """The UTC instants of the text stamps of the three tables, under the conventions of each."""
     places = table(spark, d, "stations").select("station", "tz", "date_order")
     placed = lambda name, *columns: table(spark, d, name).select("station", "plot", *columns).join(places, "station", "left")
@@ -21,7 +21,7 @@ def instants(spark: SparkSession, d: str, tabs: tuple[str, ...] = ("s1_acquisiti
         "laser_flags": lambda: ts.stamps(placed("laser_flags", "flag_id", "time_utc", "clock"), "laser_flags", "flag_id", "time_utc", source, F.coalesce("clock", "tz"), F.col("tz"), F.col("date_order")),
         "interpolated": lambda: ts.stamps(placed("interpolated", "interp_id", "start"), "interpolated", "interp_id", "start", source, F.col("tz"), F.col("tz"), F.col("date_order")),
     }
-    return ts.resolve(*(known[t]() for t in tabs))
+    return ts.resolve(*(known[t]() for t in tabs), least_margin=least_margin)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -33,6 +33,11 @@ def p2_notations(spark: SparkSession, d: str) -> DataFrame:
     return instants(spark, d).groupBy("tab", "notation").agg(F.count("*").alias("n"), F.count_if("decided").alias("n_decided"))
 
 
+def p2_settled(spark: SparkSession, d: str) -> DataFrame:
+    """The stamps that the conventions leave open and the order of a source's records settles, with the number of instants to choose from."""
+    return instants(spark, d, least_margin=ts.ORDER_MARGIN).where("decided AND n_readings > 1").select("tab", "rec_id", F.floor(F.col("epoch_us") / 1000).cast("long").alias("epoch_ms"), "n_readings")
+
+
 SERIES = ["station", "plot"]
 RAIN = {"rain_24h_mm": 1, "rain_72h_mm": 3, "rain_7d_mm": 7, "rain_30d_mm": 30}
 #: Millionths of a mm by which a stored total must differ.
@@ -134,7 +139,7 @@ g AS (SELECT *, last_value(value IGNORE NULLS) OVER w AS carried, last_value(CAS
 
 
 def queries() -> dict:
-    return {"p2_found": p2_found, "p2_notations": p2_notations, "p3_found": p3_found, "p3_totals": p3_totals, "p4_found": p4_found, "p4_series": p4_series, "p5_found": p5_found, "p5_states": p5_states}
+    return {"p2_found": p2_found, "p2_notations": p2_notations, "p2_settled": p2_settled, "p3_found": p3_found, "p3_totals": p3_totals, "p4_found": p4_found, "p4_series": p4_series, "p5_found": p5_found, "p5_states": p5_states}
 
 
 def oracle_sql() -> dict[str, str]:

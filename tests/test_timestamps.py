@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import random
 from datetime import UTC, datetime
 
 import pytest
@@ -62,14 +64,59 @@ def test_bare_times_belong_to_the_day():
     day = 18339
     assert read("02:40", day=day) == [us(datetime(2020, 3, 18, 2, 40, tzinfo=UTC))]
     assert read("0240", day=day) == [us(datetime(2020, 3, 18, 2, 40, tzinfo=UTC))]
+    assert read("T03", day=day) == read("3 AM", day=day) == [us(datetime(2020, 3, 18, 3, tzinfo=UTC))]
+    assert read("0240-05", day=day) == [us(datetime(2020, 3, 18, 7, 40, tzinfo=UTC))]
     assert read("02:40:10.5Z", day=day) == [us(datetime(2020, 3, 18, 2, 40, 10, 500_000, tzinfo=UTC))]
 
 
+@pytest.mark.parametrize("text", ["2019-02", "2023-11", " 2021-12", "2020-01", "Feb 2019", "31.04.2019", "??2019", "-9999"])
+def test_a_month_is_no_time_of_the_day(text):
+    assert read(text, day=18339) == []
+
+
+def test_long_texts():
+    assert read("2020-03-18" + " " * 100_000 + "03:47:42" + " " * 50_000 + "Z") == [us(T0)]
+    assert read("2020-03-18T03:47:42." + "9" * 20_000 + "Z") == [us(T0) + 999_999]
+    assert read("2020-03-18T03:47:42" + " x" * 50_000) == []
+
+
 def test_viterbi_prefers_few_switches_and_forward_time():
     a, b = us(datetime(2021, 4, 3, tzinfo=UTC)), us(datetime(2021, 3, 4, tzinfo=UTC))
     first = (us(datetime(2021, 3, 20, tzinfo=UTC)), "numeric_dmy", True)
     states = [[first], [(a, "numeric_dmy", True), (b, "numeric_mdy", True)], [], [(a + 1, "numeric_dmy", False), (a + 2, "numeric_mdy", True)]]
-    assert ts.best_path(states) == [0, 0, -1, 1]
+    assert [k for k, _ in ts.best_path(states)] == [0, 0, -1, 1]
+    margins = [m for _, m in ts.best_path(states)]
+    assert margins[0] == float("inf") and ts.ORDER_MARGIN <= margins[1] < ts.CONVENTION_MARGIN <= margins[3]
+
+
+def test_margins_against_all_paths():
+    rng = random.Random(8)
+    for _ in range(60):
+        states = [[(rng.randrange(6), rng.choice("ab"), rng.random() < 0.7) for _ in range(rng.randrange(0, 4))] for _ in range(5)]
+        known = [s for s in states if s]
+
+        def cost(path):
+            c = sum(0 if x[2] else ts.AGAINST_CONVENTION for x in path)
+            return c + sum(ts.NOTATION_SWITCH * (p[1] != q[1]) + ts.BACK_IN_TIME * (q[0] < p[0]) for p, q in itertools.pairwise(path))
+
+        paths = [(cost(p), p) for p in itertools.product(*known)]
+        got = [(s[k], m) for s, (k, m) in zip(states, ts.best_path(states), strict=True) if s]
+        for at, (x, margin) in enumerate(got):
+            best = min(c for c, _ in paths)
+            assert min(c for c, p in paths if p[at][0] == x[0]) == best
+            assert margin == min((c for c, p in paths if p[at][0] != x[0]), default=float("inf")) - best
+
+
+def test_record_order_settles_what_conventions_leave_open(spark):
+    from pyspark.sql import functions as F
+
+    # an hour shown twice, in records that are in order of time: the first of the two before a reading of the first pass, the second after one
+    texts = ["2024-10-27T00:10Z", "2024-10-27 02:20", "2024-10-27T00:40Z", "2024-10-27T01:15Z", "2024-10-27 02:30", "2024-10-27T01:50Z", "2024-10-27 02:55"]
+    df = spark.createDataFrame([(i, "A", x) for i, x in enumerate(texts)], "id long, source string, text string")
+    slim = ts.stamps(df, "t", "id", "text", ["source"], zone=F.lit("Europe/Warsaw"))
+    hour = lambda r: None if r.epoch_us is None else (r.epoch_us - us(datetime(2024, 10, 27, tzinfo=UTC))) // 60_000_000
+    assert {r.rec_id: hour(r) for r in ts.resolve(slim).collect()} == {0: 10, 1: None, 2: 40, 3: 75, 4: None, 5: 110, 6: None}
+    assert {r.rec_id: hour(r) for r in ts.resolve(slim, least_margin=ts.ORDER_MARGIN).collect()} == {0: 10, 1: 20, 2: 40, 3: 75, 4: 90, 5: 110, 6: 115}
 
 
 def test_resolve_keeps_every_row(spark):
