@@ -89,13 +89,14 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_states(spark: SparkSession, d: str) -> DataFrame:
-    """The flagged readings with the state that the model gives them."""
+    """The readings that the model flags as unlike their series, with their state, and whether the exact rule says so too."""
     found = spikes.implausible(table(spark, d, "laser_hourly"), SERIES, "time_utc", "reading_id", ["surface_cm_raw", "surface_cm"], checkpointed)
-    return found.select(*SERIES, "field", F.col("rec_id").alias("reading_id"), "state", "p")
+    return found.select(*SERIES, "field", F.col("rec_id").alias("reading_id"), "state", "p", "rule")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return p5_states(spark, d).select("reading_id", "field")
+    """The readings that the model flags, as far as the exact rule agrees."""
+    return p5_states(spark, d).where("rule").select("reading_id", "field")
 
 
 _LATEST_HOURS = """latest AS (SELECT * FROM site_hourly QUALIFY row_number() OVER (PARTITION BY station, plot, time_utc ORDER BY ingested_at DESC, row_id DESC) = 1)"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 from datetime import date, datetime, timedelta
 
@@ -124,8 +125,9 @@ def test_implausible_against_brute_force(spark):
     rows += [(r[0], r[1], r[2], n + k, 55.5, None) for k, r in enumerate(rows[:50])] + [(None, "a", t0, n + 99, 999.0, None), ("S", "g", t0, n + 100, 999.0, 3.0), ("S", "h", None, n + 101, 999.0, None)]
     df = spark.createDataFrame(rows, "station string, plot string, t timestamp, id long, cm double, run double")
     out = spikes.implausible(df, S, "t", "id", ["cm", "run"], checkpointed).collect()
-    assert {r.rec_id for r in out if r.field == "cm"} == truth | {n + 100} and not [r for r in out if r.field == "run"]
+    assert {r.rec_id for r in out if r.field == "cm" and r.rule} == truth | {n + 100} and not [r for r in out if r.field == "run"]
     assert len(out) == len({r.rec_id for r in out}) and all(0.5 < r.p <= 1 for r in out)
+    assert {r.state for r in out} == {"spike", "stuck", "out_of_range"} and [r for r in out if not r.rule]
     assert spikes.implausible(df.limit(0), S, "t", "id", ["cm"], checkpointed).count() == 0
 
 
@@ -133,5 +135,53 @@ def test_isolation_and_runs():
     row = np.zeros(6, int)
     assert spikes.run_lengths(np.array([1, 1, 2, 2, 2, 3]), np.array([0, 0, 0, 0, 1, 1])).tolist() == [2, 2, 2, 2, 1, 1]
     assert spikes.isolation(np.array([0.0, 5, 6, 0, -1, 0]), row).tolist()[1:3] == [5.0, 5.0]
-    p = spikes.forward_backward(spikes.evidence(np.array([False, True, False]), np.array([1, 1, 12]), np.array([0.0, 0.0, 0.0]), 12), np.array([2, 1]))
-    assert p[0, spikes.NORMAL] > 0.5 and p[1, spikes.OUT] > 0.99 and p[2, spikes.STUCK] > 0.5
+    assert spikes.isolation(np.array([1.0, 2]), np.zeros(2, int)).tolist() == [-np.inf, -np.inf]
+
+
+def model(out, run, stands, lengths, p=spikes.FIRST, counted=False):
+    n = len(out)
+    e = spikes.evidence(np.array(out, bool), np.array(run), np.array(stands, float), 12, np.tile(p, (n, 1)))
+    return (*spikes.forward_backward(e, np.array(lengths), np.tile(p[3:].reshape(4, 4), (len(lengths), 1, 1)), counted), e)
+
+
+def test_forward_backward_against_all_paths():
+    rng = np.random.default_rng(6)
+    p = spikes.bounded(spikes.FIRST[None])[0]
+    moves = p[3:].reshape(4, 4)
+    lengths = [3, 1, 4]
+    got, counts, e = model([False] * 8, [1, 2, 2, 1, 1, 3, 3, 3], rng.choice([0.0, 0.02, 0.3, 1.4], 8), lengths, p, True)
+    for r, (start, n) in enumerate(zip([0, 3, 4], lengths, strict=True)):
+        total, states, trans = 0.0, np.zeros((n, 4)), np.zeros((4, 4))
+        for path in itertools.product(range(4), repeat=n):
+            w = spikes.START[path[0]] * np.exp(sum(e[start + k, x] for k, x in enumerate(path))) * np.prod([moves[a, b] for a, b in itertools.pairwise(path)])
+            total += w
+            for k, x in enumerate(path):
+                states[k, x] += w
+            for a, b in itertools.pairwise(path):
+                trans[a, b] += w
+        np.testing.assert_allclose(got[start : start + n], states / total, atol=1e-9)
+        np.testing.assert_allclose(counts[r], trans / total, atol=1e-9)
+
+
+def test_what_the_rule_finds_the_model_finds_whatever_it_is_fitted_to():
+    rng = np.random.default_rng(1)
+    for _ in range(300):
+        p = spikes.bounded(np.concatenate([rng.normal(0, 5, (1, 3)), rng.dirichlet([0.1] * 4, 4).reshape(1, 16)], axis=1))[0]
+        out, run, stands = (rng.random(40) < 0.1), np.where(rng.random(40) < 0.1, 12, rng.integers(1, 4, 40)), rng.choice([0.0, 0.05, 1.0001, 3.0, 50.0, np.inf], 40)
+        run[out] = 1
+        stands[out | (run >= 12)] = 0
+        got, _, _ = model(out, run, stands, [40], p)
+        assert (got[(stands > 1) | out | (run >= 12), spikes.NORMAL] < 0.5).all()
+
+
+def test_a_fit_follows_the_series():
+    rng = np.random.default_rng(2)
+    n = 3000
+    quiet, loud = rng.exponential(0.01, n), rng.exponential(0.06, n)
+    loud[::20] = rng.exponential(5.0, n // 20) + 1.5
+    fitted = []
+    for stands in (quiet, loud):
+        got, counts, _ = model([False] * n, [1] * n, stands, [n], counted=True)
+        fitted.append(spikes.refitted(spikes.expected(got, counts, np.array([n]), np.ones(n), stands))[0])
+    assert 0.008 < fitted[0][0] < 0.012 and 0.045 < fitted[1][0] <= 0.07
+    assert fitted[1][3 + spikes.SPIKE] > 2 * fitted[0][3 + spikes.SPIKE]
