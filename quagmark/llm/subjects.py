@@ -1,124 +1,191 @@
 """Subjects of documents, by label propagation over a graph of documents, paragraphs and passages.
 
 A passage is a sentence reduced to its words (lower case, without numbers, places and marks), so that documents which share a
-sentence share a node. Passages that differ by a few words are linked through hubs: for every pair of adjacent words the most
-frequent passage that has it; a link is kept only if the word sets' Jaccard similarity confirms it. The number of links grows
-with the text, not with the square of a group. Subjects spread from the documents labelled by hand to their paragraphs, from
-there to passages, over the verified links to like passages, and back to all paragraphs, by joins and aggregates; labelled
-documents are clamped to their labels in every round. What is spread evenly over the subjects (chatter) carries none. A
-document gets every subject to which a paragraph is given over.
+sentence share a node. Two passages are linked if they are equal once at most one word is taken out of each; the links run
+through nodes of their own, the passages without one word, so none is lost, no pairs are made, and their number grows with the
+text. Equal nodes are the check of a link: with n words it is a Jaccard similarity of (n - 1) / (n + 1) at least, and passages
+too short for the similarity asked for have no such nodes. Subjects spread from the documents labelled by hand to their
+paragraphs, from there to passages, over the links to like passages, and back to all paragraphs, by joins and aggregates, until
+no more passages change; labelled documents are clamped to their labels in every round. What is spread evenly over the subjects
+(chatter) carries none. A document gets every subject to which a paragraph is given over.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+import warnings
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Characters that show nothing: soft hyphen, zero-width characters, variation selector.
-UNSEEN = "\u00ad\u200b\u200c\u200d\u2060\ufeff\ufe0f"
-#: A stretch of letters without a digit beside it.
-WORD = r"(?<![\p{L}\p{M}\d])[\p{L}\p{M}]++(?!\d)"
+UNSEEN = "[\u00ad\u200b\u200c\u200d\u2060\ufeff\ufe0f\x1d\x1e]"
+#: A paragraph ends at a blank line, a sentence at white space after a mark; both get a mark of their own, which no text has.
+PARAGRAPH, PARAGRAPH_END = r"\r?\n[ \t\r\x{00A0}]*\n\s*", "\x1d"
+SENTENCE, SENTENCE_END = r"([.!?])\s+", "\x1e"
+#: Tokens with digits; then all that is no letter (but for the single blanks that stand between words already).
+NUMBERED, NO_LETTER = r"[\p{L}\p{M}]*[0-9][\p{L}\p{M}0-9]*", r"[^\p{L}\p{M} \x1d\x1e][^\p{L}\p{M}\x1d\x1e]*| [^\p{L}\p{M}\x1d\x1e]+"
+#: Nodes that a row of a batch's nodes holds.
+NODES_A_ROW = 2000
+
+
+def skeletons(text: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Of every paragraph of every text the number of the text, and its sentences of two words or more as lists of words joined by blanks."""
+    plain = pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(text, "")), UNSEEN, "")
+    plain = pc.replace_substring_regex(plain, PARAGRAPH, PARAGRAPH_END)
+    plain = pc.replace_substring_regex(plain, SENTENCE, r"\1" + SENTENCE_END)
+    plain = pc.replace_substring_regex(pc.replace_substring_regex(plain, NUMBERED, " "), NO_LETTER, " ")
+    pars = pc.split_pattern(plain, PARAGRAPH_END)
+    of_par = pc.list_parent_indices(pars).to_numpy(zero_copy_only=False)
+    each = pc.split_pattern(pc.list_flatten(pars), SENTENCE_END)
+    of_sentence = pc.list_parent_indices(each).to_numpy(zero_copy_only=False)
+    words = pc.utf8_trim(pc.list_flatten(each), " ")
+    keep = pc.match_substring(words, " ")
+    n = np.bincount(of_sentence[keep.to_numpy(zero_copy_only=False)], minlength=len(of_par))
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), words.filter(keep))
+    full = pa.array(n > 0)
+    return of_par[n > 0], lists.filter(full)
+
+
+def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        of, lists = skeletons(b["text"].cast(pa.string()))
+        coded = pc.dictionary_encode(lists.flatten())
+        names = coded.dictionary.to_pylist()
+        hashes = np.fromiter((xxhash.xxh64_intdigest(x) for x in names), np.uint64, len(names)).view(np.int64)
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        n = lists.value_lengths().to_numpy(zero_copy_only=False)
+        at = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
+        none = lambda k, t: pa.nulls(k, pa.list_(t))
+        yield pa.RecordBatch.from_arrays([b["doc_id"].take(pa.array(of)), pa.ListArray.from_arrays(at, pa.array(hashes[codes])), none(len(n), pa.int64()), none(len(n), pa.string())], names=["doc_id", "skeletons", "n", "words"])
+        counts = np.bincount(codes, minlength=len(names))
+        starts = np.append(np.arange(0, len(names), NODES_A_ROW), len(names)) if names else np.zeros(1, int)
+        cut = lambda x: pa.ListArray.from_arrays(pa.array(starts, pa.int32()), x)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(starts) - 1, b["doc_id"].type), cut(pa.array(hashes)), cut(pa.array(counts)), cut(coded.dictionary)], names=["doc_id", "skeletons", "n", "words"])
 
 
-def paragraphs(text: Column) -> Column:
-    """The paragraphs of a text: stretches between blank lines."""
-    return F.split(text, r"\r?\n[ \t\r\x{00A0}]*\n\s*")
+def passages(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """One row (doc_id, par, skeletons) per paragraph with a sentence of two words or more, and beside them rows (skeletons, n, words) of the nodes that each batch has.
 
+    ``par`` tells paragraphs apart, those of repeated documents too; its numbers hold once the result is materialised. Null, empty
+    and blank texts have no rows. No shuffle.
+    """
+    kind = docs.schema[doc_id].dataType.simpleString()
+    slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).where("text IS NOT NULL")
+    out = slim.mapInArrow(_passages, f"doc_id {kind}, skeletons array<bigint>, n array<bigint>, words array<string>")
+    return out.withColumn("par", F.monotonically_increasing_id())
 
-def sentences(paragraph: Column) -> Column:
-    return F.split(paragraph, r"(?<=[.!?])\s+")
 
+#: A node counts as hot from this part of all rows on; there can be no more than 1 / HOT of them, which bounds what is broadcast.
+HOT = 1 / 500
+SALTS = 16
 
-def words(sentence: Column) -> Column:
-    """The words of a sentence: lower case, letters only, tokens with digits left out."""
-    return F.regexp_extract_all(sentence, F.lit(WORD), F.lit(0))
 
+def hot_keys(counts: DataFrame, key: str, total: int) -> DataFrame:
+    """(key, salts): the at most 1 / HOT keys that hold a part of HOT or more of all ``total`` rows. ``counts``: (key, n)."""
+    return counts.where(F.col("n") >= max(2.0, total * HOT)).select(key, F.least(F.lit(SALTS), F.ceil(F.col("n") / max(1.0, total * HOT))).cast("int").alias("salts"))
 
-def passages(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """One row (doc_id, row, par, size, words, skeleton) per sentence of two words or more, ``size`` being their number in the paragraph; null, empty and blank texts have none.
 
-    ``row`` tells repeated documents apart; its numbers hold once the result is materialised. No shuffle.
-    """
-    plain = F.translate(F.lower(docs[text]), UNSEEN, "")
-    pars = docs.where(docs[text].isNotNull()).select(docs[doc_id].alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.posexplode(paragraphs(plain)).alias("par", "paragraph"))
-    split = pars.select("doc_id", "row", "par", F.filter(F.transform(sentences(F.col("paragraph")), words), lambda w: F.size(w) >= 2).alias("s"))
-    each = split.select("doc_id", "row", "par", F.size("s").alias("size"), F.explode("s").alias("words"))
-    return each.withColumn("skeleton", F.xxhash64(F.array_join("words", " ")))
+def salted(rows: DataFrame, key: str, hot: DataFrame, by: Column) -> DataFrame:
+    """``rows`` with ``salt``, which deals the rows of a hot key to several tasks by ``by``; 0 for all other keys."""
+    return rows.join(F.broadcast(hot), key, "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64(by), F.col("salts")).cast("int"), F.lit(0))).drop("salts")
 
 
-def links(nodes: DataFrame, similarity: float, salts: int = 8) -> DataFrame:
-    """(hub, skeleton): verified links of passages to hubs, and every passage that is a hub to itself. ``nodes``: (skeleton, words, n).
+def spread(one: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """``one``, which has a row per key, with that row once for every ``salt`` of its key."""
+    return one.join(F.broadcast(hot), key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
 
-    Candidates are numbers only: the key is a hash of two adjacent words (a collision adds a candidate, which the check
-    removes), word sets are joined to the distinct candidates. A key that one passage has makes no candidates.
+
+def links(nodes: DataFrame, similarity: float) -> DataFrame:
+    """(pattern, skeleton, n): the link nodes that two or more passages share, and how many share each. ``nodes``: (skeleton, words). One shuffle.
+
+    A passage of n words has n + 1 patterns, itself and itself without each word, if (n - 1) / (n + 1) is ``similarity`` or more.
     """
-    pairs_of_words = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("words") - 1), lambda k: F.xxhash64(F.get("words", k - 1), F.get("words", k))))
-    keyed = nodes.select("skeleton", "n", F.explode(pairs_of_words).alias("key"))
-    hubs = keyed.groupBy("key").agg(F.max(F.struct("n", "skeleton")).alias("h"), F.count("*").alias("c")).where("c > 1").select("key", F.col("h.skeleton").alias("hub"))
-    # a common pair of words may hold much of all rows: its rows are dealt to several tasks, the hub goes to each
-    hubs = hubs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    near = keyed.withColumn("salt", F.pmod("skeleton", F.lit(salts)).cast("int")).join(hubs, ["key", "salt"]).where("skeleton <> hub").select("skeleton", "hub").distinct()
-    sets = nodes.select("skeleton", F.array_distinct("words").alias("set"))
-    checked = near.join(sets, "skeleton").join(sets.withColumnsRenamed({"skeleton": "hub", "set": "hub_set"}), "hub")
-    both = F.size(F.array_intersect("set", "hub_set"))
-    linked = checked.where(both >= similarity * (F.size("set") + F.size("hub_set") - both)).select("hub", "skeleton")
-    return linked.unionByName(linked.select("hub", F.col("hub").alias("skeleton")).distinct())
+    least = math.ceil((1 + similarity) / (1 - similarity) - 1e-9)
+    w = F.split("words", " ")
+    without = F.transform(F.sequence(F.lit(1), F.size("w")), lambda k: F.xxhash64(F.concat(F.slice("w", F.lit(1), k - 1), F.slice("w", k + 1, F.size("w")))))
+    keyed = nodes.select("skeleton", w.alias("w")).where(F.size("w") >= least).select("skeleton", F.explode(F.array_distinct(F.concat(F.array(F.xxhash64("w")), without))).alias("pattern"))
+    keyed = keyed.where("pattern IS NOT NULL").repartition("pattern")
+    shared = keyed.groupBy("pattern").agg(F.count("*").alias("n")).where("n > 1")
+    return keyed.join(shared, "pattern").select("pattern", "skeleton", "n")
 
 
 def document_subjects(
-    docs: DataFrame, labels: DataFrame, keep: Callable[[DataFrame], DataFrame], doc_id: str = "doc_id", text: str = "text", rounds: int = 3, similarity: float = 0.5, even: float = 0.4, sure: float = 0.5, least: int = 3, hub_weight: float = 4.0
+    docs: DataFrame, labels: DataFrame, keep: Callable[[DataFrame], DataFrame], doc_id: str = "doc_id", text: str = "text", similarity: float = 0.6, even: float = 0.4, sure: float = 0.5, least: int = 3, link_weight: float = 2.0, settled: float = 0.005, most_rounds: int = 20
 ) -> DataFrame:
     """(doc_id, subject): every subject to which at least one paragraph of the document is given over.
 
     ``labels``: (doc_id, subject), the trusted seeds; rows with nulls are ignored, repeated ones count once. A paragraph is given
     over to a subject if ``least`` or more of its sentences, and more of them than of any other subject, are on it. Texts without sentences
     (null, empty, blank, tables of numbers) have no subject; without labels the result is empty. A null id is kept, repeated rows change nothing. Documents with the same text
-    get the same subjects unless labels set them apart. A passage's score for a subject carries nothing up to the subject's share
-    of labelled documents (which chatter has too) plus ``even`` of the way from there to 1; ``sure`` makes it a passage on that subject. ``keep`` materialises intermediates (a checkpoint).
+    get the same subjects unless labels set them apart. A passage's score for a subject carries nothing up to ``even``, at first
+    up to the subject's share of labelled documents (which chatter has too) plus ``even`` of the way from there to 1; ``sure`` makes it a passage on that subject. Rounds
+    end when no more than a ``settled`` part of the passages with a subject change theirs; a warning is given if ``most_rounds`` do not
+    reach that. ``keep`` materialises intermediates (a checkpoint).
     """
-    every = keep(passages(docs, doc_id, text))
-    nodes = keep(every.groupBy("skeleton").agg(F.count("*").cast("double").alias("n"), F.first("words").alias("words")))
+    raw = keep(passages(docs, doc_id, text))
+    pars = raw.where("words IS NULL").select("doc_id", "par", F.size("skeletons").alias("size"), "skeletons")
+    every = raw.where("words IS NOT NULL").select(F.inline(F.arrays_zip("skeletons", "n", "words"))).withColumnRenamed("skeletons", "skeleton")
+    nodes = keep(every.groupBy("skeleton").agg(F.sum("n").cast("double").alias("n"), F.max("words").alias("words")))
+    occurrences = nodes.agg(F.sum("n")).first()[0] or 0.0
+    hot = keep(hot_keys(nodes, "skeleton", int(occurrences)))
     member = keep(links(nodes, similarity))
+    hot_patterns = keep(hot_keys(member.select("pattern", "n").distinct(), "pattern", member.count()))
+    member = member.select("pattern", "skeleton")
     seeds = keep(labels.where("doc_id IS NOT NULL AND subject IS NOT NULL").groupBy("doc_id").agg(F.collect_set("subject").alias("own")))
     rate = F.count("*") / F.lit(max(1, seeds.count()))
-    floors = seeds.select(F.explode("own").alias("subject")).groupBy("subject").agg((rate + even * (1 - rate)).alias("floor"))
+    floors = keep(seeds.select(F.explode("own").alias("subject")).groupBy("subject").agg((rate + even * (1 - rate)).alias("floor")))
 
     # a passage's first score is the part of its labelled occurrences whose document has the subject: near 1 on the subject, far lower for chatter
-    on_seeds = every.select("doc_id", "skeleton").join(seeds, "doc_id")
-    mass = on_seeds.select("skeleton", F.explode("own").alias("subject")).groupBy("skeleton", "subject").agg(F.count("*").cast("double").alias("mass"))
-    totals = keep(_totals(on_seeds.groupBy("skeleton").agg(F.count("*").cast("double").alias("total")), member, hub_weight))
-    scores = keep(_smoothed(mass, totals, member, hub_weight))
-    totals = keep(_totals(nodes.select("skeleton", F.col("n").alias("total")), member, hub_weight))
-    for _ in range(rounds - 1):
-        lift = scores.join(floors, "subject").where("score > floor").select("skeleton", "subject", ((F.col("score") - F.col("floor")) / (1 - F.col("floor"))).alias("lift"))
-        occ = every.select("doc_id", "row", "par", "skeleton", "size")
-        q = occ.join(lift, "skeleton").groupBy("row", "par", "subject").agg(F.sum("lift").alias("e"), F.first("size").alias("size"), F.first("doc_id").alias("doc_id"))
+    on_seeds = pars.join(seeds, "doc_id").select(F.explode("skeletons").alias("skeleton"), "own")
+    mass = on_seeds.select("skeleton", F.explode(F.concat("own", F.array(F.lit(None).cast("string")))).alias("subject")).groupBy("skeleton", "subject").agg(F.count("*").cast("double").alias("mass"))
+    scores = keep(_smoothed(mass, member, hot_patterns, link_weight))
+    best = keep(_best(scores, sure))
+    every_total = nodes.select("skeleton", F.lit(None).cast("string").alias("subject"), F.col("n").alias("mass"))
+    occ = salted(pars.select("doc_id", "par", "size", F.explode("skeletons").alias("skeleton")), "skeleton", hot, F.col("par"))
+    for number in range(most_rounds):
+        # labels are of documents, so chatter has the subjects' shares at first; shares of paragraphs know no such base
+        floored = scores.join(floors, "subject") if number == 0 else scores.withColumn("floor", F.lit(even))
+        lift = floored.where("score > floor").select("skeleton", "subject", ((F.col("score") - F.col("floor")) / (1 - F.col("floor"))).alias("lift"))
+        q = occ.join(spread(lift, "skeleton", hot), ["skeleton", "salt"]).select("doc_id", "par", "size", "subject", "lift").repartition("par")
+        q = q.groupBy("par", "subject").agg(F.sum("lift").alias("e"), F.first("size").alias("size"), F.first("doc_id").alias("doc_id"))
         # labelled documents stay clamped to their labels
         q = q.join(seeds, "doc_id", "left").where("own IS NULL OR array_contains(own, subject)")
-        q = q.withColumn("whole", F.sum("e").over(Window.partitionBy("row", "par")))
-        q = q.select("row", "par", "subject", (F.col("e") / F.col("whole") * F.least(F.lit(1.0), F.col("whole") / (0.3 * F.col("size")))).alias("q"))
-        mass = occ.select("row", "par", "skeleton").join(q, ["row", "par"]).groupBy("skeleton", "subject").agg(F.sum("q").alias("mass"))
-        scores = keep(_smoothed(mass, totals, member, hub_weight))
-    best = scores.groupBy("skeleton").agg(F.max(F.struct("score", "subject")).alias("b")).where(F.col("b.score") >= sure).select("skeleton", F.col("b.subject").alias("subject"))
-    counts = every.select("doc_id", "row", "par", "skeleton").join(best, "skeleton").groupBy("doc_id", "row", "par", "subject").agg(F.count("*").alias("c"))
-    given = counts.withColumn("most", F.max("c").over(Window.partitionBy("row", "par"))).where((F.col("c") >= least) & (F.col("c") == F.col("most")))
+        q = q.withColumn("whole", F.sum("e").over(Window.partitionBy("par")))
+        q = q.select("par", "subject", (F.col("e") / F.col("whole") * F.least(F.lit(1.0), F.col("whole") / (0.3 * F.col("size")))).alias("q"))
+        mass = pars.select("par", "skeletons").join(q, "par").select(F.explode("skeletons").alias("skeleton"), "subject", "q").groupBy("skeleton", "subject").agg(F.sum("q").alias("mass"))
+        scores = keep(_smoothed(mass.unionByName(every_total), member, hot_patterns, link_weight))
+        before, best = best, keep(_best(scores, sure))
+        changed = best.join(before.withColumnRenamed("subject", "was"), "skeleton", "full_outer").agg(F.count_if(~F.col("subject").eqNullSafe(F.col("was"))).alias("c"), F.count("*").alias("n")).first()
+        if changed["c"] <= settled * changed["n"]:
+            break
+    else:
+        warnings.warn(f"subjects still change after {most_rounds} rounds", stacklevel=2)
+    counts = occ.join(spread(best, "skeleton", hot), ["skeleton", "salt"]).groupBy("doc_id", "par", "subject").agg(F.count("*").alias("c"))
+    given = counts.withColumn("most", F.max("c").over(Window.partitionBy("par"))).where((F.col("c") >= least) & (F.col("c") == F.col("most")))
     return given.select("doc_id", "subject").distinct()
 
 
-def _totals(total: DataFrame, member: DataFrame, hub_weight: float) -> DataFrame:
-    """(skeleton, total, weight): occurrences of a passage, those of all members if it is a hub (else null), and with the pull of its hubs added."""
-    hub = member.join(total, "skeleton").groupBy("hub").agg(F.sum("total").alias("hub_total"))
-    pulled = member.join(hub, "hub").groupBy("skeleton").agg((F.count("*") * hub_weight).alias("pull"))
-    each = total.join(pulled, "skeleton", "full_outer").join(hub.withColumnRenamed("hub", "skeleton"), "skeleton", "full_outer")
-    return each.select("skeleton", "hub_total", (F.coalesce("total", F.lit(0.0)) + F.coalesce("pull", F.lit(0.0))).alias("weight"))
+def _best(scores: DataFrame, sure: float) -> DataFrame:
+    """(skeleton, subject): the subject of the passages that are surely on one."""
+    return scores.where(F.col("score") >= sure).groupBy("skeleton").agg(F.max(F.struct("score", "subject")).alias("b")).select("skeleton", F.col("b.subject").alias("subject"))
 
 
-def _smoothed(mass: DataFrame, totals: DataFrame, member: DataFrame, hub_weight: float) -> DataFrame:
-    """(skeleton, subject, score): a passage's own share of each subject, drawn towards that of the hubs that it is like."""
-    hub_mass = member.join(mass, "skeleton").groupBy("hub", "subject").agg(F.sum("mass").alias("hm"))
-    hub_score = hub_mass.join(totals.select(F.col("skeleton").alias("hub"), "hub_total"), "hub").select("hub", "subject", (F.col("hm") / F.col("hub_total") * hub_weight).alias("mass"))
-    pull = member.join(hub_score, "hub").select("skeleton", "subject", "mass")
-    num = mass.unionByName(pull).groupBy("skeleton", "subject").agg(F.sum("mass").alias("mass"))
-    return num.join(totals.select("skeleton", "weight"), "skeleton").select("skeleton", "subject", (F.col("mass") / F.col("weight")).alias("score"))
+def _smoothed(mass: DataFrame, member: DataFrame, hot_patterns: DataFrame, link_weight: float) -> DataFrame:
+    """(skeleton, subject, score): a passage's own share of each subject, drawn towards that of the passages which it is linked to.
+
+    ``mass``: (skeleton, subject, mass), where the row without a subject holds the passage's whole mass. The same sums per link
+    node, scaled to a whole of ``link_weight``, are added to every passage of the node.
+    """
+    own = mass.groupBy("skeleton", "subject").agg(F.sum("mass").alias("mass"))
+    by_pattern = member.join(own, "skeleton").groupBy("pattern", "subject").agg(F.sum("mass").alias("mass"))
+    whole = lambda key: F.max(F.when(F.col("subject").isNull(), F.col("mass"))).over(Window.partitionBy(key))
+    scaled = by_pattern.withColumn("whole", whole("pattern")).select("pattern", "subject", (F.col("mass") / F.col("whole") * link_weight).alias("mass"))
+    pull = salted(member, "pattern", hot_patterns, F.col("skeleton")).join(spread(scaled, "pattern", hot_patterns), ["pattern", "salt"]).select("skeleton", "subject", "mass")
+    both = own.unionByName(pull).groupBy("skeleton", "subject").agg(F.sum("mass").alias("mass"))
+    return both.withColumn("whole", whole("skeleton")).where("subject IS NOT NULL").select("skeleton", "subject", (F.col("mass") / F.col("whole")).alias("score"))

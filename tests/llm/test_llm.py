@@ -134,10 +134,37 @@ def test_harmonic_classes():
 
 
 def test_words_paragraphs_sentences(spark):
-    text = "Night minimum was 32.3 degrees. At ST03: rain!\r\n \r\nSecond one.\n\n\n| 00:00 | -17.97 |"
-    df = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, " \t"), (5, "12 34")], "doc_id long, text string")
-    rows = subjects.passages(df, "doc_id", "text").orderBy("par").collect()
-    assert {(r.par, tuple(r.words)) for r in rows} == {(0, ("night", "minimum", "was", "degrees")), (0, ("at", "rain")), (1, ("second", "one"))}
+    text = "Night mi\u00adnimum was 32.3 degrees. At ST03: rain!\r\n \r\nSecond one.\n\n\n| 00:00 | -17.97 |\x1d\x1e"
+    df = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, " \t"), (5, "12 34"), (6, "ŻÓŁTA  łąka,\n5th e\u0301te\u0301 a1b two... ok")], "doc_id long, text string").withColumn("par", F.lit("clash"))
+    rows = subjects.passages(df.coalesce(1), "doc_id", "text").collect()
+    names = {h: (w, n) for r in rows if r.words is not None for h, w, n in zip(r.skeletons, r.words, r.n, strict=True)}
+    pars = [(r.doc_id, [names[h][0] for h in r.skeletons]) for r in rows if r.words is None]
+    assert pars == [(1, ["night minimum was degrees", "at rain"]), (1, ["second one"]), (6, ["żółta łąka e\u0301te\u0301 two"])]
+    assert all(n == 1 for _, n in names.values()) and len({r.par for r in rows}) == len(rows)
+    assert subjects.passages(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_links_lose_none(spark):
+    rng = random.Random(9)
+    every = {" ".join(rng.choice("abcdefg") for _ in range(rng.randint(2, 6))) for _ in range(1500)}
+    df = spark.createDataFrame(list(enumerate(sorted(every))), "skeleton long, words string")
+    got = {}
+    for r in subjects.links(df, 0.6).collect():
+        got.setdefault(r.pattern, set()).add(r.skeleton)
+    mine = {(a, b) for group in got.values() for a in group for b in group if a < b}
+    lists = [tuple(w.split()) for w in sorted(every)]
+    less = [{w} | {w[:k] + w[k + 1 :] for k in range(len(w))} if len(w) >= 4 else set() for w in lists]
+    assert mine == {(i, j) for i in range(len(lists)) for j in range(i + 1, len(lists)) if less[i] & less[j]}
+    assert all(r.n == len(got[r.pattern]) for r in subjects.links(df, 0.6).collect())
+
+
+def test_hot_keys_are_dealt_to_several_tasks(spark):
+    rows = spark.range(5000).select(F.when(F.col("id") < 2000, F.lit(1)).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
+    hot = subjects.hot_keys(rows.groupBy("k").agg(F.count("*").alias("n")), "k", 5000)
+    assert [tuple(r) for r in hot.collect()] == [(1, subjects.SALTS)]
+    one = rows.select("k").distinct().withColumn("x", F.col("k") * 2)
+    both = subjects.salted(rows, "k", hot, F.col("v")).join(subjects.spread(one, "k", hot), ["k", "salt"])
+    assert both.count() == 5000 and both.where("x <> 2 * k").count() == 0 and both.where("k = 1").select("salt").distinct().count() == subjects.SALTS
 
 
 def notes(rng, subject, n):
