@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -20,9 +21,9 @@ class Contract:
 
 # The contracts of the gold tables.
 GOLD = {
-    "plots_acq": Contract(["track", "date", "plot"], ["time_utc", "period", "unit", "row", "col", "air_c", "flag_wet_any", "flag_frozen_air"], {"vv_db_3x3": (-40, 15), "rvi_3x3": (0, 4), "s2_ndvi_3x3": (-1, 1), "s2_lag_days": (-10, 10), "lst_lag_days": (-16, 16), "uav_lag_days": (-30, 30)}),
-    "plots_pair": Contract(["period", "track", "grid", "pair", "plot"], ["t1", "t2", "revisit_days", "wrapped_1x1", "unw_1x1", "coh_1x1", "ref_stable_unw", "ref_grassland_unw", "fold_year"], {"revisit_days": (1, 800), "coh_1x1": (0, 1), "rain_sum_mm": (0, 3000)}),
-    "triangles": Contract(["period", "track", "grid", "p12", "p23", "p13", "unit"], ["closure_wrapped", "closure_consistency", "cycle_share"], {"closure_consistency": (0, 1), "cycle_share": (0, 1)}),
+    "plots_acq": Contract(["track", "date", "plot"], ["time_utc", "period", "unit", "row", "col", "air_c", "flag_wet_any", "flag_frozen_air"], {"vv_db_3x3": (-40, 15), "vh_db_3x3": (-45, 10), "rvi_3x3": (0, 4), "air_c": (-40, 45), "wtd_at": (-200, 80), "s2_ndvi_3x3": (-1, 1), "s2_ndmi_3x3": (-1, 1), "lst_c_3x3": (-40, 70), "uav_ndvi": (-1, 1), "uav_lai": (0, 15), "s2_lag_days": (-10, 10), "lst_lag_days": (-16, 16), "uav_lag_days": (-30, 30), "eco_lst_c_3x3": (-40, 70)}),
+    "plots_pair": Contract(["period", "track", "grid", "pair", "plot"], ["t1", "t2", "revisit_days", "wrapped_1x1", "unw_1x1", "coh_1x1", "ref_stable_unw", "ref_grassland_unw", "fold_year"], {"revisit_days": (1, 800), "coh_1x1": (0, 1), "coh_3x3": (0, 1), "wrapped_1x1": (-math.pi, math.pi), "wrapped_3x3": (-math.pi, math.pi), "consistency_3x3": (0, 1 + 1e-9), "rain_sum_mm": (0, 3000)}),
+    "triangles": Contract(["period", "track", "grid", "p12", "p23", "p13", "unit"], ["closure_wrapped", "closure_consistency", "cycle_share"], {"closure_wrapped": (-math.pi, math.pi), "closure_consistency": (0, 1 + 1e-9), "cycle_share": (0, 1)}),
     "truth_laser_daily": Contract(["date"], ["surface_cm", "n_ok_hours"], {"surface_cm": (-100, 100), "n_ok_hours": (0, 24)}),
 }
 

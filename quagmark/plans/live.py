@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quagmark.plans.book import query, rounded
+from quagmark.session import removed_at_exit, shared_folder
 from quagmark.streaming import live
 
 
@@ -19,11 +20,15 @@ def stream_of(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def finished(stream: DataFrame, mode: str) -> DataFrame:
-    """The table of a stream that was run over all that there is."""
-    name = f"live_{uuid.uuid4().hex}"
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
+    """The table, in the shared folder, of a stream that was run over all that there is. A whole result (``complete``) is overwritten by each batch, the others grow."""
+    place = f"{shared_folder(stream.sparkSession)}/quagmark-live-{uuid.uuid4().hex}"
+
+    def batch(df: DataFrame, _: int) -> None:
+        df.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{place}/rows")
+
+    stream.writeStream.foreachBatch(batch).outputMode(mode).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start().awaitTermination()
+    removed_at_exit(stream.sparkSession, place)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{place}/rows")
 
 
 @query("""SELECT event_type, time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '1970-01-01') AS start, round(avg(value), 6) AS mean, round(sum(value), 4) AS total, count(value) AS n FROM events GROUP BY 1, 2""")

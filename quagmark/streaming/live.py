@@ -51,10 +51,12 @@ def take_in(stream: DataFrame, target: str, key: str, checkpoint: str, prepare:
 
     def batch(df: DataFrame, _: int) -> None:
         new = prepare(df).dropDuplicates([key])
-        try:
-            have = df.sparkSession.read.parquet(target).select(key)
-        except Exception:  # the table does not exist before the first batch
-            have = new.select(key).limit(0)
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(target)
+        if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):  # before the first batch; any fault in reading stops the stream
+            new.write.mode("append").parquet(target)
+            return
+        have = spark.read.parquet(target).select(key)
         new.join(have, key, "left_anti").write.mode("append").parquet(target)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -56,7 +56,7 @@ def test_the_rest_stands_without_llm(monkeypatch):
 
     def without(name, *a):
         if name.startswith("quagmark.llm"):
-            raise ImportError(name)
+            raise ModuleNotFoundError(name, name=name)
         return real(name, *a)
 
     monkeypatch.setattr(importlib, "import_module", without)
