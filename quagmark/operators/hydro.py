@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quagmark.operators.stats import corr
+from quagmark.operators.temporal import asof
 
 # Constants of the published formulas.
 SOLAR_CONSTANT = 0.0820  # MJ per m2 and minute (FAO-56)
@@ -122,3 +123,16 @@ def lag_correlation(series: DataFrame, driver: DataFrame, day: str, value: str,
     g = j.groupBy("lag").agg(F.count("*").alias("n"), corr("__x", "__y").alias("r")).where(F.col("n") >= min_n)
     best = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc(F.round(F.abs("r"), 9)), "lag")) == 1
     return g.withColumn("best", best)
+
+
+#: Fixed value: millimetres of zenith delay per millimetre of precipitable water.
+DELAY_PER_WATER = 6.2
+
+
+def pair_wet_delays(pairs: DataFrame, water: DataFrame, on: list[str], t1: str, t2: str, time: str, value: str, hour: float, tolerance_h: int = 12) -> DataFrame:
+    """``pairs`` (dates) with ``delay_mm``, the change of the zenith wet delay between both dates at ``hour`` UTC, from the water column nearest in time; null if an end has none within the tolerance."""
+    out = pairs
+    for end, name in ((t1, "__w1"), (t2, "__w2")):
+        at = out.withColumn(time, (F.unix_seconds(F.col(end).cast("timestamp")) + int(hour * 3600)).cast("timestamp"))
+        out = asof(at, water, on, time, [value], tolerance_h * 3600).drop("lag_h", time).withColumnRenamed(value, name)
+    return out.withColumn("delay_mm", DELAY_PER_WATER * (F.col("__w2") - F.col("__w1"))).drop("__w1", "__w2")

@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def per_group(df: DataFrame, on: list[str], kernel: Callable[[pd.DataFrame], dict], out: str) -> DataFrame:
@@ -72,8 +73,8 @@ def link_phases(pairs: DataFrame, on: list[str], t1: str, t2: str, phase: str, c
     return per_group(usable.select(*on, t1, t2, phase, coh), on, kernel, "t long, phase double, tcoh double")
 
 
-def ou_smooth(pairs: DataFrame, on: list[str], t1: str, t2: str, y: str, sd: str, tau_days: float, sigma: float, cycle: float = 0.0, min_gain: float = 9.0, rounds: int = 50) -> DataFrame:
-    """Per key the posterior (t, mean, sd) of an Ornstein-Uhlenbeck level given differences over pairs; with a ``cycle``, whole cycles are taken off one pair after the other, at most ``rounds`` times, while that lowers minus twice the log-likelihood by ``min_gain``."""
+def ou_smooth(pairs: DataFrame, on: list[str], t1: str, t2: str, y: str, sd: str, tau_days: float, sigma: float, cycle: float = 0.0, min_gain: float = 9.0) -> DataFrame:
+    """Per key the posterior (t, mean, sd) of an Ornstein-Uhlenbeck level given differences over pairs; with a ``cycle``, whole cycles are taken off one pair after the other while that lowers minus twice the log-likelihood by ``min_gain``."""
     usable = pairs.where(F.col(y).isNotNull() & (F.col(sd) > 0))
 
     def kernel(pdf: pd.DataFrame) -> dict:
@@ -97,7 +98,7 @@ def ou_smooth(pairs: DataFrame, on: list[str], t1: str, t2: str, y: str, sd: str
         cov = np.linalg.inv(q + d.T @ (d * w[:, None]))
         # precision of the observations with the level integrated out: what an observation says against all others
         g = np.diag(w) - (w[:, None] * d) @ cov @ (d.T * w)
-        for _ in range(rounds if cycle else 0):
+        while cycle:  # every round lowers a sum that is not below 0 by min_gain, so they end
             pull, own = g @ obs, np.diag(g)
             turns = np.rint(pull / (own * cycle))
             gain = 2 * cycle * turns * pull - (cycle * turns) ** 2 * own
@@ -127,8 +128,11 @@ def gp_leave_one_out(df: DataFrame, on: list[str], rec_id: str, x: str, y: str,
     return per_group(usable.select(*on, rec_id, x, y), on, kernel, f"`{rec_id}` {kind}, loo double, sd double")
 
 
-def bayes_line(df: DataFrame, on: list[str], columns: list[str], y: str, prior_sd: float = 10.0, rounds: int = 20) -> DataFrame:
-    """Per key the posterior mean of regression coefficients with a normal prior and an estimated noise scale, from sums of products only."""
+def bayes_line(df: DataFrame, on: list[str], columns: list[str], y: str, prior_sd: float = 10.0, close: float = 1e-9, most_rounds: int = 10_000) -> DataFrame:
+    """Per key the posterior mean of regression coefficients with a normal prior and an estimated noise scale, from sums of products only.
+
+    The scale is refitted until it changes by less than ``close`` of itself; an error is raised if ``most_rounds`` do not reach that.
+    """
     from quagmark.operators.stats import normal_sums
 
     k = len(columns)
@@ -143,9 +147,13 @@ def bayes_line(df: DataFrame, on: list[str], columns: list[str], y: str, prior_s
             v = np.asarray(v, float)
             a, b, yy = v[: k * k].reshape(k, k), v[k * k : k * k + k], v[-1]
             noise = max(yy / max(m, 1), 1e-12)
-            for _ in range(rounds):
+            for _ in range(most_rounds):
                 beta = np.linalg.solve(a / noise + np.eye(k) / prior_sd**2, b / noise)
-                noise = max((yy - 2 * beta @ b + beta @ a @ beta) / max(m, 1), 1e-12)
+                before, noise = noise, max((yy - 2 * beta @ b + beta @ a @ beta) / max(m, 1), 1e-12)
+                if abs(noise - before) <= close * before:
+                    break
+            else:
+                raise ValueError(f"the noise scale does not settle in {most_rounds} rounds")
             out.append([*beta, np.sqrt(noise)])
         return pd.Series(out)
 
@@ -171,6 +179,45 @@ def ks_statistic(df: DataFrame, on: list[str], value: str, first) -> DataFrame:
     return v.groupBy(*on).agg(F.max("__d").alias("ks"), F.sum("__a").alias("n1"), F.sum("__b").alias("n2"))
 
 
+#: Fixed value: the Kolmogorov-Smirnov c of 5 %.
+KS_C = 1.358
+
+
+@F.pandas_udf(T.DoubleType())
+def ks_of_arrays(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Kolmogorov-Smirnov distance of two arrays of numbers, ties included."""
+    out = np.empty(len(a))
+    for k, (x, y) in enumerate(zip(a, b, strict=True)):
+        x, y = np.sort(x), np.sort(y)
+        every = np.concatenate([x, y])
+        out[k] = np.abs(np.searchsorted(x, every, "right") / len(x) - np.searchsorted(y, every, "right") / len(y)).max()
+    return pd.Series(out)
+
+
+def homogeneous(pixels: DataFrame, on: list[str], row: str, col: str, amplitudes: str, half_r: int, half_c: int, c: float = KS_C) -> DataFrame:
+    """(row, col, row2, col2, ks, alike): every pixel with each neighbour of its window, and whether their amplitudes have one distribution.
+
+    Windows are clipped at the edge; neighbours meet by equality, one per offset. Pixels without amplitudes, or with an unknown one, meet none.
+    """
+    whole = (F.size(amplitudes) > 0) & ~F.exists(amplitudes, lambda x: x.isNull() | F.isnan(x))
+    p = pixels.where(whole).select(*on, row, col, F.col(amplitudes).alias("__a"))
+    offset = lambda h: F.explode(F.sequence(F.lit(-h), F.lit(h)))
+    own = p.withColumn("__dr", offset(half_r)).withColumn("__dc", offset(half_c)).where("__dr <> 0 OR __dc <> 0")
+    own = own.withColumns({f"{row}2": F.col(row) + F.col("__dr"), f"{col}2": F.col(col) + F.col("__dc")}).drop("__dr", "__dc")
+    other = p.select(*on, F.col(row).alias(f"{row}2"), F.col(col).alias(f"{col}2"), F.col("__a").alias("__b"))
+    n = own.join(other, [*on, f"{row}2", f"{col}2"]).withColumn("ks", ks_of_arrays(F.col("__a"), F.col("__b")))
+    limit = c * F.sqrt(1.0 / F.size("__a") + 1.0 / F.size("__b"))
+    return n.select(*on, row, col, f"{row}2", f"{col}2", "ks", (F.col("ks") < limit).alias("alike"))
+
+
+def homogeneous_coherence(neighbours: DataFrame, images: DataFrame, on: list[str], row: str, col: str, re1: str, im1: str, re2: str, im2: str) -> DataFrame:
+    """Coherence of two complex images per pixel over itself and the neighbours that are alike (see ``homogeneous``); pixels with an unknown part count as nothing."""
+    own = images.select(*on, row, col).withColumns({f"{row}2": F.col(row), f"{col}2": F.col(col)})
+    pairs = neighbours.where("alike").select(*on, row, col, f"{row}2", f"{col}2").unionByName(own)
+    seen = images.dropna(subset=[re1, im1, re2, im2]).select(*on, F.col(row).alias(f"{row}2"), F.col(col).alias(f"{col}2"), re1, im1, re2, im2)
+    return coherence(pairs.join(seen, [*on, f"{row}2", f"{col}2"]), [*on, row, col], re1, im1, re2, im2)
+
+
 def dissimilarity(points: DataFrame, rec_id: str, vector: str, train: DataFrame, most: int = 2000) -> DataFrame:
     """Distance to the nearest training point over the training points' mean distance: (rec_id, di). The training set is a bounded table (at most ``most`` rows, else an error)."""
     rows = train.select(vector).where(F.col(vector).isNotNull()).limit(most + 1).collect()

@@ -69,15 +69,57 @@ def quarter_picks(pairs: DataFrame, n: int) -> DataFrame:
     return ranked.where((F.col("__m") <= n) | F.array_contains(wanted, F.col("__r").cast("int"))).drop("__q", "__k", "__r", "__m")
 
 
-def components(edges: DataFrame, a: str, b: str, keep: Callable[[DataFrame], DataFrame], rounds: int = 50) -> DataFrame:
+def both_ends(a: DataFrame, b: DataFrame, on: list[str], t1: str, t2: str, offset: float, tolerance: float) -> DataFrame:
+    """Pairs of a with the pair of b of the same ``on`` that lies ``offset`` days (within ``tolerance``) later at both ends, one to one.
+
+    Every pair of a keeps its first partner, then every partner its first pair, in order of their ends. Ends are numbers of days. Rows of b lie
+    in buckets of twice the tolerance, so a row of a meets two buckets only.
+    """
+    width = 2.0 * tolerance
+    bucket = lambda c: F.floor(c / width).cast("long")
+    keys = [f"__k{i}" for i in range(len(on))]
+    named = lambda df, side: df.select(*(F.col(c).alias(k) for c, k in zip(on, keys, strict=True)), F.struct(*df.columns).alias(side), F.col(t1).alias(f"{side}1"), F.col(t2).alias(f"{side}2"))
+    left = named(a, "a").withColumn("__b", F.explode(F.array_distinct(F.array(bucket(F.col("a1") + offset - tolerance), bucket(F.col("a1") + offset + tolerance)))))
+    right = named(b, "b").withColumn("__b", bucket(F.col("b1")))
+    near = lambda k: F.abs(F.col(f"b{k}") - F.col(f"a{k}") - offset) <= tolerance + 1e-9
+    m = left.join(right, [*keys, "__b"]).where(near(1) & near(2))
+    first = lambda df, own, order: df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys, *own).orderBy(*order))).where("__n = 1").drop("__n")
+    once = first(first(m, ["a1", "a2"], ["b1", "b2"]), ["b1", "b2"], ["a1", "a2"])
+    return once.select(*(F.col(k).alias(c) for c, k in zip(on, keys, strict=True)), *(F.col(f"{x}{k}").alias(f"{x}_{t}") for x in "ab" for k, t in ((1, t1), (2, t2))))
+
+
+def bridged_gaps(pairs: DataFrame, on: list[str], t1: str, t2: str, ok: Column) -> DataFrame:
+    """(on, t1, t2, bridged): every gap between successive dates, and whether a pair that is ``ok`` spans it.
+
+    Pairs open and close at their dates, so that a running sum tells how many span a gap; no gap meets a pair.
+    """
+    one = F.coalesce(ok, F.lit(False)).cast("int")
+    ends = pairs.where(F.col(t1).isNotNull() & F.col(t2).isNotNull()).select(*on, F.explode(F.array(F.struct(F.col(t1).alias("t"), one.alias("x")), F.struct(F.col(t2).alias("t"), (-one).alias("x")))).alias("e")).select(*on, "e.*")
+    w = Window.partitionBy(*on).orderBy("t")
+    dates = ends.groupBy(*on, "t").agg(F.sum("x").alias("x")).withColumns({"t2": F.lead("t").over(w), "__open": F.sum("x").over(w.rowsBetween(Window.unboundedPreceding, 0))})
+    return dates.where("t2 IS NOT NULL").select(*on, F.col("t").alias("t1"), "t2", (F.col("__open") > 0).alias("bridged"))
+
+
+def none_between(pairs: DataFrame, dates: DataFrame, on: list[str], t1: str, t2: str, date: str) -> DataFrame:
+    """The pairs of which no date of the same ``on`` lies strictly between both ends (an anti join by range): the first date after t1 is not before t2."""
+    keys = [f"__k{i}" for i in range(len(on))]
+    key = [F.col(c).alias(k) for c, k in zip(on, keys, strict=True)]
+    d = dates.select(*key, F.col(date).alias("__t"), F.lit(0).alias("__side"), F.lit(None).cast(pairs.select(F.struct(*pairs.columns)).schema[0].dataType).alias("__p")).where("__t IS NOT NULL")
+    p = pairs.select(*key, F.col(t1).alias("__t"), F.lit(1).alias("__side"), F.struct(*pairs.columns).alias("__p"))
+    w = Window.partitionBy(*keys).orderBy("__t", "__side").rowsBetween(1, Window.unboundedFollowing)
+    after = d.unionByName(p).withColumn("__next", F.first(F.when(F.col("__side") == 0, F.col("__t")), ignorenulls=True).over(w)).where("__side = 1")
+    return after.where(F.col("__next").isNull() | (F.col("__next") >= F.col(f"__p.{t2}"))).select("__p.*")
+
+
+def components(edges: DataFrame, a: str, b: str, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(node, component): the smallest node that each node is connected with, by alternating large-star and small-star rounds.
 
-    Every round writes its links through ``keep``; it ends when nothing changes.
+    Every round writes its links through ``keep``; they end when nothing changes, after a number of rounds that grows with the logarithm of the nodes.
     """
     links = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).dropna()
     nodes = links.select(F.col("u").alias("node")).unionByName(links.select(F.col("v").alias("node"))).distinct()
     links = keep(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    for _ in range(rounds):
+    while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()

@@ -5,6 +5,7 @@ Draws are a hash of (seed, draw, block), so any engine and any partitioning give
 
 from __future__ import annotations
 
+import math
 from itertools import permutations
 
 import pandas as pd
@@ -47,10 +48,15 @@ def spearman_exact(df: DataFrame, x: str, y: str) -> DataFrame:
     return a.withColumn("__o", own).agg(F.max(F.when(F.col("perm") == 0, F.col("r"))).alias("rho"), F.avg((F.abs("r") >= F.col("__o") - 1e-12).cast("double")).alias("p"))
 
 
+def uniform(seed: int, *parts: Column) -> Column:
+    """A whole number in [0, 2**32) by the first half of md5 of seed and parts, joined by '-', which every SQL engine can repeat."""
+    text = F.concat_ws("-", F.lit(str(seed)), *(p.cast("string") for p in parts))
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+
+
 def draw(seed: int, number: Column, slot: Column, n: Column) -> Column:
-    """A whole number in [0, n), a linear congruence of seed, draw and slot that every SQL engine can repeat."""
-    h = F.pmod((number.cast("long") * 7919 + slot.cast("long") * 104729 + seed * 15485863) * 1103515245 + 12345, F.lit(2147483648))
-    return F.pmod(F.floor(h / 65536), n)
+    """A whole number in [0, n), as good as even for n far below 2**32."""
+    return F.pmod(uniform(seed, number, slot), n)
 
 
 def block_weights(blocks: DataFrame, block: str, n_draws: int, seed: int = 0) -> DataFrame:
@@ -81,6 +87,67 @@ def date_jackknife(pairs: DataFrame, t1: str, t2: str, value: str) -> DataFrame:
     return own.join(whole, how="cross").select("date", F.try_divide(F.col("t.s") - F.col("s"), F.col("t.n") - F.col("n")).alias("mean_without"))
 
 
+def permuted_within(df: DataFrame, on: list[str], rec_id: str, x: str, n_draws: int, seed: int = 0) -> DataFrame:
+    """``df`` once per draw (``draw``), with x exchanged among the rows of the same ``on``, in an order by the hash of draw and id (which must be unique)."""
+    d = df.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))))
+    place = Window.partitionBy("draw", *on)
+    d = d.withColumns({"__i": F.row_number().over(place.orderBy(rec_id)), "__j": F.row_number().over(place.orderBy(F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("draw").cast("string"), F.col(rec_id).cast("string"))), rec_id))})
+    other = d.select("draw", *on, F.col("__j").alias("__i"), F.col(x).alias(f"{x}_permuted"))
+    return d.drop("__j").join(other, ["draw", *on, "__i"]).drop("__i")
+
+
+def matched_zones(cells: DataFrame, row: str, col: str, n_target: int, n_reference: int, n_trials: int, seed: int = 0) -> DataFrame:
+    """(trial, row, col, zone): per trial two adjacent compact patches of ``cells`` of exactly the sizes wanted.
+
+    Around a drawn cell the nearest cells make one patch, which a line in a drawn direction cuts in two (``target`` and
+    ``reference``); ties go by row and column. With fewer cells than wanted there are no trials.
+    """
+    need = n_target + n_reference
+    c = cells.select(row, col).dropna().distinct()
+    # a trial's seed is the cell whose hash with the trial is least: a partial minimum, no cell is moved
+    key = F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("trial").cast("string"), F.col(row).cast("string"), F.col(col).cast("string")))
+    every = c.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(n_trials - 1))))
+    seeds = every.groupBy("trial").agg(F.min(F.struct(key.alias("key"), F.col(row).alias("r"), F.col(col).alias("c"))).alias("s"), F.count("*").alias("__n")).where(F.col("__n") >= need)
+    angle = uniform(seed, F.col("trial")) / float(1 << 32) * math.pi
+    far = every.join(seeds.select("trial", "s.r", "s.c", angle.alias("angle")), "trial")
+    d2 = (F.col(row) - F.col("r")) * (F.col(row) - F.col("r")) + (F.col(col) - F.col("c")) * (F.col(col) - F.col("c"))
+    w = Window.partitionBy("trial")
+    patch = far.withColumn("__k", F.row_number().over(w.orderBy(d2, row, col))).where(F.col("__k") <= need)
+    along = F.round(F.col(row) * F.cos("angle") + F.col(col) * F.sin("angle"), 6)
+    half = patch.withColumn("__k", F.row_number().over(w.orderBy(along, row, col)))
+    return half.select("trial", row, col, F.when(F.col("__k") <= n_target, F.lit("target")).otherwise(F.lit("reference")).alias("zone"))
+
+
+def normal_draws(seed: int, number: Column, slot: str) -> tuple[Column, Column]:
+    """Two independent standard normal numbers (Box and Muller) of a draw."""
+    u = (uniform(seed, number, F.lit(f"{slot}a")) + 0.5) / float(1 << 32)
+    v = uniform(seed, number, F.lit(f"{slot}b")) / float(1 << 32) * (2 * math.pi)
+    r = F.sqrt(-2 * F.log(u))
+    return r * F.cos(v), r * F.sin(v)
+
+
+def two_sight_amplitudes(fits: DataFrame, on: list[str], sights: tuple[tuple[float, float], tuple[float, float]], n_draws: int = 5000, seed: int = 0) -> DataFrame:
+    """Per key the seasonal amplitudes east and up, with the spread that the fits' covariance gives them by Monte Carlo.
+
+    ``fits``: per key the cosine and sine parts seen along two lines of sight and their covariance: a_cos, a_sin, a_cc, a_ss, a_cs and the
+    same for b. ``sights``: (east, up) of both lines. Columns: direction, median, mean, sd, low, high (95 %).
+    """
+    (ea, ua), (eb, ub) = sights
+    det = ea * ub - eb * ua
+    d = fits.withColumn("__d", F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))))
+    parts = {}
+    for k in "ab":
+        x, y = normal_draws(seed, F.col("__d"), k)
+        l11 = F.sqrt(F.col(f"{k}_cc"))
+        l21 = F.col(f"{k}_cs") / l11
+        l22 = F.sqrt(F.greatest(F.col(f"{k}_ss") - l21 * l21, F.lit(0.0)))
+        parts[k] = (F.col(f"{k}_cos") + l11 * x, F.col(f"{k}_sin") + l21 * x + l22 * y)
+    east = [(ub * parts["a"][i] - ua * parts["b"][i]) / det for i in (0, 1)]
+    up = [(ea * parts["b"][i] - eb * parts["a"][i]) / det for i in (0, 1)]
+    both = d.select(*on, F.explode(F.array(F.struct(F.lit("east").alias("direction"), F.hypot(*east).alias("v")), F.struct(F.lit("up").alias("direction"), F.hypot(*up).alias("v")))).alias("x")).select(*on, "x.*")
+    return both.groupBy(*on, "direction").agg(F.median("v").alias("median"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd"), F.percentile("v", 0.025).alias("low"), F.percentile("v", 0.975).alias("high"))
+
+
 def empirical_p(null: DataFrame, on: list[str], value: str, observed: str) -> DataFrame:
     """(1 + nulls at least as large) / (1 + nulls)."""
     return null.groupBy(*on).agg(((1 + F.count_if(F.col(value) >= F.col(observed))) / (1 + F.count(value))).alias("p"), F.count(value).alias("n"))

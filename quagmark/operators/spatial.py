@@ -147,3 +147,22 @@ def roughness(grid: DataFrame, on: list[str], row: str, col: str, value: str) ->
     right = g.join(g.select(*on, row, (F.col(col) - 1).alias(col), F.col("__v").alias("__n")), [*on, row, col])
     down = g.join(g.select(*on, (F.col(row) - 1).alias(row), col, F.col("__v").alias("__n")), [*on, row, col])
     return right.unionByName(down).groupBy(*on).agg(F.median(F.abs(F.col("__v") - F.col("__n"))).alias("roughness"), F.count("*").alias("n"))
+
+
+def shift_scores(a: DataFrame, b: DataFrame, row: str, col: str, x: str, y: str, reach: int, score) -> DataFrame:
+    """(dr, dc, score, n): how well a's ``x`` agrees with b's ``y`` moved by every whole-cell shift up to ``reach``.
+
+    ``score``: an aggregate of two columns. Cells meet by equality, each with one cell a shift; n counts the cells where both are known.
+    """
+    steps = F.sequence(F.lit(-reach), F.lit(reach))
+    moved = a.select(row, col, F.col(x).alias("__x")).withColumn("dr", F.explode(steps)).withColumn("dc", F.explode(steps))
+    moved = moved.select((F.col(row) + F.col("dr")).alias("__r"), (F.col(col) + F.col("dc")).alias("__c"), "dr", "dc", "__x")
+    other = b.select(F.col(row).alias("__r"), F.col(col).alias("__c"), F.col(y).alias("__y"))
+    both = F.col("__x").isNotNull() & F.col("__y").isNotNull()
+    return moved.join(other, ["__r", "__c"]).groupBy("dr", "dc").agg(score(F.col("__x"), F.col("__y")).alias("score"), F.count_if(both).alias("n"))
+
+
+def best_shift(scores: DataFrame) -> DataFrame:
+    """(dr, dc, score): the shift of the highest score, of several the one of the smallest dr, then dc; no row if no score is known."""
+    known = scores.where(F.col("score").isNotNull())
+    return known.agg(F.max(F.struct("score", (-F.col("dr")).alias("r"), (-F.col("dc")).alias("c"))).alias("b")).where("b IS NOT NULL").select((-F.col("b.r")).alias("dr"), (-F.col("b.c")).alias("dc"), F.col("b.score").alias("score"))

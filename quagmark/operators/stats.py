@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from quagmark.session import checkpointed
 
 
 def both(x: Column, y: Column) -> Column:
@@ -108,12 +113,12 @@ def leave_one_group_out_slope(df: DataFrame, group: str, x: str, y: str, min_tra
 
 def leave_one_out_line(df: DataFrame, x: str, y: str) -> DataFrame:
     """``df`` with ``loo``, each row's prediction by the line through all other rows."""
-    w = Window.partitionBy()
-    s = {k: F.sum(v).over(w) for k, v in {"n": F.lit(1.0), "x": F.col(x), "y": F.col(y), "xx": F.col(x) * F.col(x), "xy": F.col(x) * F.col(y)}.items()}
-    n, sx, sy = s["n"] - 1, s["x"] - F.col(x), s["y"] - F.col(y)
-    sxx, sxy = s["xx"] - F.col(x) * F.col(x), s["xy"] - F.col(x) * F.col(y)
+    terms = {"n": F.lit(1.0), "x": F.col(x), "y": F.col(y), "xx": F.col(x) * F.col(x), "xy": F.col(x) * F.col(y)}
+    df = joined(df, df.agg(*(F.sum(v).alias(f"__{k}") for k, v in terms.items())), [])
+    n, sx, sy = F.col("__n") - 1, F.col("__x") - F.col(x), F.col("__y") - F.col(y)
+    sxx, sxy = F.col("__xx") - F.col(x) * F.col(x), F.col("__xy") - F.col(x) * F.col(y)
     slope = F.try_divide(n * sxy - sx * sy, n * sxx - sx * sx)
-    return df.withColumn("loo", (sy - slope * sx) / n + slope * F.col(x))
+    return df.withColumn("loo", (sy - slope * sx) / n + slope * F.col(x)).drop(*(f"__{k}" for k in terms))
 
 
 def partial_r(df: DataFrame, on: list[str], x: str, y: str, z: str) -> DataFrame:
@@ -123,14 +128,45 @@ def partial_r(df: DataFrame, on: list[str], x: str, y: str, z: str) -> DataFrame
     return g.select(*on, F.try_divide(F.col("a") - F.col("b") * F.col("c"), F.sqrt((1 - F.col("b") * F.col("b")) * (1 - F.col("c") * F.col("c")))).alias("partial_r"))
 
 
+#: Parts that the values of a key are cut into for running sums, and how exactly the cuts are taken.
+PARTS, ACCURACY = 64, 10_000
+
+
+def in_parts(groups: DataFrame, on: list[str], value: str) -> DataFrame:
+    """``groups`` with ``__part``: each key's values cut into ranges of about equal size, so that no window holds a whole key.
+
+    The cuts are approximate quantiles; they are materialised, as every use must see the same ones. What is computed over the parts is exact.
+    """
+    cuts = checkpointed(groups.groupBy(*on).agg(F.percentile_approx(F.col(value).cast("double"), [k / PARTS for k in range(1, PARTS)], ACCURACY).alias("__cuts")))
+    return joined(groups, cuts, on).withColumn("__part", F.size(F.filter("__cuts", lambda c: c <= F.col(value).cast("double")))).drop("__cuts")
+
+
+def running(groups: DataFrame, on: list[str], value: str, sums: list[str]) -> DataFrame:
+    """``groups`` (one row per key and value) with ``c_<sum>``, the sum up to and with the value, and ``t_<sum>``, the key's total, for each of ``sums``."""
+    cut = in_parts(groups, on, value)
+    whole, before = Window.partitionBy(*on), Window.partitionBy(*on).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = cut.groupBy(*on, "__part").agg(*(F.sum(c).alias(c) for c in sums))
+    parts = parts.select(*on, "__part", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"__b_{c}") for c in sums), *(F.sum(c).over(whole).alias(f"t_{c}") for c in sums))
+    own = Window.partitionBy(*on, "__part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    out = cut.join(parts, [*on, "__part"]).withColumns({f"c_{c}": F.sum(c).over(own) + F.col(f"__b_{c}") for c in sums})
+    return out.drop("__part", *(f"__b_{c}" for c in sums))
+
+
+def ranked(df: DataFrame, on: list[str], value: str, name: str, ties: str | None = None) -> DataFrame:
+    """``df`` with the rank of ``value`` per key, ties at their mean, and the number of equal values as ``ties``; null for null."""
+    counts = running(df.where(F.col(value).isNotNull()).groupBy(*on, value).agg(F.count("*").alias("n")), on, value, ["n"])
+    ranks = counts.select(*on, value, (F.col("c_n") - (F.col("n") - 1) / 2.0).alias(name), *([F.col("n").alias(ties)] if ties else []))
+    return df.join(ranks, [*on, value], "left")
+
+
 def average_rank(on: list[str], value: str) -> Column:
-    """Rank with ties at their mean."""
+    """Rank with ties at their mean, as a window over each key (for keys of bounded size; ``ranked`` has none)."""
     return F.rank().over(Window.partitionBy(*on).orderBy(value)) + (F.count("*").over(Window.partitionBy(*on, value)) - 1) / 2.0
 
 
 def spearman(df: DataFrame, on: list[str], x: str, y: str) -> DataFrame:
-    ranked = df.dropna(subset=[x, y]).withColumns({"__rx": average_rank(on, x), "__ry": average_rank(on, y)})
-    return ranked.groupBy(*on).agg(corr("__rx", "__ry").alias("rho"), F.count("*").alias("n"))
+    both_ranked = ranked(ranked(df.dropna(subset=[x, y]), on, x, "__rx"), on, y, "__ry")
+    return both_ranked.groupBy(*on).agg(corr("__rx", "__ry").alias("rho"), F.count("*").alias("n"))
 
 
 def normal_cdf(z: Column) -> Column:
@@ -147,8 +183,8 @@ def normal_cdf(z: Column) -> Column:
 def mann_whitney(df: DataFrame, on: list[str], value: str, first: Column) -> DataFrame:
     """U of the rows with ``first`` against the others, and the two-sided p by the tie-corrected normal approximation."""
     d = df.dropna(subset=[value]).withColumn("__f", first)
-    ranked = d.withColumns({"__r": average_rank(on, value), "__t": F.count("*").over(Window.partitionBy(*on, value)).cast("double")})
-    g = ranked.groupBy(*on).agg(F.sum(F.when(F.col("__f"), F.col("__r"))).alias("__R"), F.count_if("__f").alias("n1"), F.count_if(~F.col("__f")).alias("n2"), F.sum(F.col("__t") * F.col("__t") - 1).alias("__ties"))
+    t = F.col("__t").cast("double")
+    g = ranked(d, on, value, "__r", "__t").groupBy(*on).agg(F.sum(F.when(F.col("__f"), F.col("__r"))).alias("__R"), F.count_if("__f").alias("n1"), F.count_if(~F.col("__f")).alias("n2"), F.sum(t * t - 1).alias("__ties"))
     n1, n2 = F.col("n1"), F.col("n2")
     n = n1 + n2
     u = F.col("__R") - n1 * (n1 + 1) / 2
@@ -157,48 +193,127 @@ def mann_whitney(df: DataFrame, on: list[str], value: str, first: Column) -> Dat
     return g.select(*on, "n1", "n2", u.alias("u"), (2 * (1 - normal_cdf(z))).alias("p"))
 
 
+#: Up to so many values without ties the tests' p is exact.
+EXACT_WILCOXON, EXACT_KENDALL = 50, 33
+
+
+@lru_cache(maxsize=256)
+def _shares(n: int, signed: bool) -> np.ndarray:
+    """Cumulative null distribution of the sum of signed ranks, or of the number of inversions, of n values."""
+    counts = np.ones(1)
+    for k in range(1, n + 1):
+        longer = np.zeros(len(counts) + (k if signed else k - 1))
+        for step in (0, k) if signed else range(k):
+            longer[step : step + len(counts)] += counts
+        counts = longer / longer.sum()
+    return np.cumsum(counts)
+
+
+def _exact_p(signed: bool) -> Callable:
+    @F.pandas_udf(T.DoubleType())
+    def p(n: pd.Series, least: pd.Series) -> pd.Series:
+        return pd.Series([None if pd.isna(m) else min(1.0, 2 * float(_shares(int(m), signed)[int(k)])) for m, k in zip(n, least, strict=True)], dtype=float)
+
+    return p
+
+
 def wilcoxon(df: DataFrame, on: list[str], delta: str) -> DataFrame:
-    """Signed-rank sums of non-zero differences and the two-sided p by the normal approximation."""
+    """Signed-rank sums of non-zero differences and the two-sided p: exact for up to 50 differences without ties, else by the tie-corrected normal approximation."""
     d = df.where((F.col(delta).isNotNull()) & (F.col(delta) != 0)).withColumn("__a", F.abs(delta))
-    r = d.withColumn("__r", average_rank(on, "__a"))
-    g = r.groupBy(*on).agg(F.count("*").alias("n"), F.sum(F.when(F.col(delta) > 0, F.col("__r")).otherwise(0.0)).alias("w_plus"), F.sum(F.when(F.col(delta) < 0, F.col("__r")).otherwise(0.0)).alias("w_minus"))
+    r = ranked(d, on, "__a", "__r", "__t")
+    t = F.col("__t").cast("double")
+    g = r.groupBy(*on).agg(F.count("*").alias("n"), F.sum(F.when(F.col(delta) > 0, F.col("__r")).otherwise(0.0)).alias("w_plus"), F.sum(F.when(F.col(delta) < 0, F.col("__r")).otherwise(0.0)).alias("w_minus"), F.sum(t * t - 1).alias("__ties"))
     n = F.col("n")
-    z = F.abs(F.col("w_plus") - n * (n + 1) / 4) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24)
-    return g.withColumn("p", 2 * (1 - normal_cdf(z)))
+    z = F.abs(F.col("w_plus") - n * (n + 1) / 4) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - F.col("__ties") / 48)
+    exact = (n <= EXACT_WILCOXON) & (F.col("__ties") == 0)
+    g = g.withColumn("__e", _exact_p(True)(F.when(exact, n), F.least("w_plus", "w_minus")))
+    return g.withColumn("p", F.when(exact, F.col("__e")).otherwise(2 * (1 - normal_cdf(z)))).drop("__ties", "__e")
 
 
-def theil_sen(df: DataFrame, on: list[str], x: str, y: str) -> DataFrame:
-    """The median of all pairwise slopes, Kendall's tau-b and the number of pairs; for short yearly series (all pairs of a key are formed)."""
-    a = df.dropna(subset=[x, y]).select(*on, F.col(x).alias("x1"), F.col(y).alias("y1"))
-    b = a.select(*on, F.col("x1").alias("x2"), F.col("y1").alias("y2"))
-    p = joined(a, b, on).where("x2 > x1").withColumn("s", F.signum(F.col("y2") - F.col("y1")))
-    g = p.groupBy(*on).agg(F.median((F.col("y2") - F.col("y1")) / (F.col("x2") - F.col("x1"))).alias("slope"), F.sum("s").alias("__s"), F.count("*").alias("pairs"), F.count_if(F.col("s") == 0).alias("__ties"))
-    return g.select(*on, "slope", F.try_divide(F.col("__s"), F.sqrt(F.col("pairs") * (F.col("pairs") - F.col("__ties")))).alias("tau"), "pairs")
+def _tie_sums(df: DataFrame, on: list[str], value: str, name: str) -> DataFrame:
+    """Per key the sums over groups of equal values that tie corrections take."""
+    t = F.col("__t").cast("double")
+    g = df.groupBy(*on, value).agg(F.count("*").alias("__t"))
+    return g.groupBy(*on).agg(F.sum(t * (t - 1) / 2).alias(f"__{name}p"), F.sum(t * (t - 1) * (t - 2)).alias(f"__{name}0"), F.sum(t * (t - 1) * (2 * t + 5)).alias(f"__{name}1"))
 
 
-def bh_qvalues(df: DataFrame, on: list[str], p: str, tie: str) -> DataFrame:
+def theil_sen(df: DataFrame, on: list[str], x: str, y: str, z: float = 1.959964) -> DataFrame:
+    """The median of all pairwise slopes with its interval and intercept, Kendall's tau-b with its two-sided p, and the number of slopes.
+
+    For short series of years or months: all pairs of a key are formed. ``z``: the normal quantile of the interval. p is exact for up
+    to 33 values without ties, else by the tie-corrected normal approximation.
+    """
+    known = df.dropna(subset=[x, y]).select(*on, F.col(x).alias("x1"), F.col(y).alias("y1"))
+    middle = joined(known.groupBy(*on).agg(F.count("*").alias("n"), F.median("x1").alias("__mx"), F.median("y1").alias("__my")), _tie_sums(known, on, "x1", "x"), on)
+    middle = joined(middle, _tie_sums(known, on, "y1", "y"), on)
+    n, m = F.col("n"), F.col("n") * (F.col("n") - 1).cast("double")
+    var = (m * (2 * n + 5) - F.col("__x1") - F.col("__y1")) / 18 + F.try_divide(2 * F.col("__xp") * F.col("__yp"), m) + F.coalesce(F.try_divide(F.col("__x0") * F.col("__y0"), 9 * m * (n - 2)), F.lit(0.0))
+    middle = middle.withColumns({"__var": var, "__pairs": m / 2})
+    p = joined(known, known.select(*on, F.col("x1").alias("x2"), F.col("y1").alias("y2")), on).where("x2 > x1").withColumns({"s": F.signum(F.col("y2") - F.col("y1")), "slope": (F.col("y2") - F.col("y1")) / (F.col("x2") - F.col("x1"))})
+    w = Window.partitionBy(*on)
+    p = p.withColumns({"__k": F.row_number().over(w.orderBy("slope")) - 1, "__nt": F.count("*").over(w)})
+    p = joined(p, middle, on)
+    half = z * F.sqrt((m * (2 * n + 5) - F.col("__x1") - F.col("__y1")) / 18)
+    low = F.greatest(F.rint((F.col("__nt") - half) / 2) - 1, F.lit(0))
+    high = F.least(F.rint((F.col("__nt") + half) / 2), F.col("__nt") - 1)
+    at = lambda k: F.max(F.when(F.col("__k") == k, F.col("slope")))
+    kept = ["n", "__mx", "__my", "__var", "__pairs", "__xp", "__yp"]
+    g = p.groupBy(*on).agg(F.median("slope").alias("slope"), at(low).alias("low"), at(high).alias("high"), F.sum("s").alias("__s"), F.count("*").alias("pairs"), *(F.first(c).alias(c) for c in kept))
+    untied = (F.col("__xp") == 0) & (F.col("__yp") == 0) & (n <= EXACT_KENDALL)
+    swaps = F.when(untied, F.least((F.col("__pairs") - F.col("__s")) / 2, (F.col("__pairs") + F.col("__s")) / 2))
+    g = g.withColumn("__e", _exact_p(False)(F.when(untied, n), swaps))
+    tau = F.try_divide(F.col("__s"), F.sqrt((F.col("__pairs") - F.col("__xp")) * (F.col("__pairs") - F.col("__yp"))))
+    return g.select(*on, "slope", (F.col("__my") - F.col("slope") * F.col("__mx")).alias("intercept"), "low", "high", tau.alias("tau"), F.when(untied, F.col("__e")).otherwise(2 * (1 - normal_cdf(F.abs("__s") / F.sqrt("__var")))).alias("p"), "pairs")
+
+
+def quantile_bins(df: DataFrame, on: list[str], x: str, n_bins: int) -> DataFrame:
+    """``df`` with ``bin``, the number of the quantile bin of x per key: edges are exact quantiles, equal edges count once, the last bin is closed."""
+    edges = df.groupBy(*on).agg(F.array_sort(F.array_distinct(F.percentile(x, [k / n_bins for k in range(n_bins + 1)]))).alias("__e"))
+    inside = F.size(F.filter("__e", lambda e: e <= F.col(x)))
+    return joined(df, edges, on).withColumn("bin", F.when(F.col(x).isNotNull(), F.least(inside, F.size("__e") - 1) - 1)).drop("__e")
+
+
+def envelope_slope(df: DataFrame, on: list[str], x: str, y: str, n_bins: int, q: float, least_bins: int = 3) -> DataFrame:
+    """Per key the slope of the q-quantile of y over the median x of the quantile bins of x; null for fewer than ``least_bins`` bins."""
+    b = quantile_bins(df.dropna(subset=[x, y]), on, x, n_bins).groupBy(*on, "bin").agg(F.median(x).alias("mx"), F.percentile(y, q).alias("qy"))
+    return lines(b, on, "mx", "qy", least_bins).select(*on, F.col("n").alias("bins"), "slope")
+
+
+def bh_qvalues(df: DataFrame, on: list[str], p: str) -> DataFrame:
     """``df`` with Benjamini-Hochberg ``q``; null for null p."""
-    known = F.col(p).isNotNull()
-    m = F.count(p).over(Window.partitionBy(*on))
-    k = F.row_number().over(Window.partitionBy(*on, known).orderBy(p, tie))
-    ranked = df.withColumn("__k", k).withColumn("__s", F.col(p) * m / F.col("__k"))
-    w = Window.partitionBy(*on, known).orderBy("__k").rowsBetween(0, Window.unboundedFollowing)
-    return ranked.withColumn("q", F.when(known, F.least(F.lit(1.0), F.min("__s").over(w)))).drop("__k", "__s")
+    known = df.where(F.col(p).isNotNull())
+    # rows of equal p have the q of the last of them, so distinct values do; the least is taken from above
+    steps = running(known.groupBy(*on, p).agg(F.count("*").alias("n")), on, p, ["n"]).withColumn("__s", F.col(p) * F.col("t_n") / F.col("c_n"))
+    cut = in_parts(steps, on, p)
+    after = Window.partitionBy(*on).orderBy("__part").rowsBetween(1, Window.unboundedFollowing)
+    parts = cut.groupBy(*on, "__part").agg(F.min("__s").alias("__m")).select(*on, "__part", F.min("__m").over(after).alias("__after"))
+    own = Window.partitionBy(*on, "__part").orderBy(p).rowsBetween(0, Window.unboundedFollowing)
+    q = cut.join(parts, [*on, "__part"]).select(*on, p, F.least(F.lit(1.0), F.min("__s").over(own), "__after").alias("q"))
+    return df.join(q, [*on, p], "left")
+
+
+def medians(df: DataFrame, on: list[str], value: str, weight: str | None = None) -> DataFrame:
+    """(on, median): the value at which half the weight (of rows: 1 each) is reached, the mean of two where it is met exactly.
+
+    Weights of a value are added up first, running sums go by parts, so that no task holds the values of a key.
+    """
+    kept = df.where(F.col(value).isNotNull() if weight is None else (F.col(weight) > 0) & F.col(value).isNotNull())
+    g = running(kept.groupBy(*on, value).agg((F.count("*") if weight is None else F.sum(weight)).alias("w")), on, value, ["w"])
+    low, high = F.min(F.when(F.col("c_w") >= F.col("t_w") / 2, F.col(value))), F.min(F.when(F.col("c_w") > F.col("t_w") / 2, F.col(value)))
+    return g.groupBy(*on).agg(((low + F.coalesce(high, low)) / 2).alias("median"))
 
 
 def robust_sd(df: DataFrame, on: list[str], value: str) -> DataFrame:
     """Per key median and 1.4826 times the median absolute deviation."""
-    m = df.groupBy(*on).agg(F.median(value).alias("median"))
-    return joined(df, m, on).groupBy(*on).agg(F.first("median").alias("median"), (1.4826 * F.median(F.abs(F.col(value) - F.col("median")))).alias("robust_sd"), F.count(value).alias("n"))
+    off = joined(df, medians(df, on, value), on).withColumn("__d", F.abs(F.col(value) - F.col("median")))
+    counts = off.groupBy(*on).agg(F.first("median").alias("median"), F.count(value).alias("n"))
+    mad = medians(off, on, "__d").select(*on, (1.4826 * F.col("median")).alias("robust_sd"))
+    return joined(counts, mad, on).select(*on, "median", "robust_sd", "n")
 
 
 def weighted_median(df: DataFrame, on: list[str], value: str, weight: str) -> DataFrame:
-    """Per key the value at which half the weight is reached; the mean of two where it is met exactly. Weights of a value are added up first."""
-    g = df.where((F.col(weight) > 0) & F.col(value).isNotNull()).groupBy(*on, value).agg(F.sum(weight).alias("__w"))
-    w = Window.partitionBy(*on)
-    g = g.withColumns({"__c": F.sum("__w").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)), "__h": F.sum("__w").over(w) / 2})
-    low, high = F.min(F.when(F.col("__c") >= F.col("__h"), F.col(value))), F.min(F.when(F.col("__c") > F.col("__h"), F.col(value)))
-    return g.groupBy(*on).agg(((low + F.coalesce(high, low)) / 2).alias("weighted_median"))
+    """Per key the weighted median; see ``medians``."""
+    return medians(df, on, value, weight).withColumnRenamed("median", "weighted_median")
 
 
 def smallest_mode(df: DataFrame, on: list[str], value: str) -> DataFrame:
@@ -207,10 +322,10 @@ def smallest_mode(df: DataFrame, on: list[str], value: str) -> DataFrame:
     return g.groupBy(*on).agg(F.min(F.struct((-F.col("__n")).alias("n"), F.col(value).alias("v"))).alias("b")).select(*on, F.col("b.v").alias("mode"), (-F.col("b.n")).alias("n"))
 
 
-def standardized(df: DataFrame, on: list[str], value: str) -> Column:
-    """z-scores with the population's standard deviation."""
-    w = Window.partitionBy(*on)
-    return F.try_divide(F.col(value) - F.avg(value).over(w), F.stddev_pop(value).over(w))
+def standardized(df: DataFrame, on: list[str], value: str, name: str) -> DataFrame:
+    """``df`` with ``name``, the z-scores with the population's standard deviation: sums per key, joined back, no window."""
+    g = df.groupBy(*on).agg(F.avg(value).alias("__m"), F.stddev_pop(value).alias("__s"))
+    return joined(df, g, on, "left").withColumn(name, F.try_divide(F.col(value) - F.col("__m"), F.col("__s"))).drop("__m", "__s")
 
 
 def agreement(df: DataFrame, on: list[str], truth: str, est: str) -> DataFrame:
@@ -228,7 +343,7 @@ def agreement(df: DataFrame, on: list[str], truth: str, est: str) -> DataFrame:
 
 def autocorrelation(df: DataFrame, on: list[str], t: str, x: str, max_lag: int) -> DataFrame:
     """Mean product of standardised values by whole lag, up to ``max_lag``; lags are joined by equality."""
-    z = df.where(F.col(x).isNotNull()).select(*on, F.col(t).alias("__t"), standardized(df, on, x).alias("__z"))
+    z = standardized(df.where(F.col(x).isNotNull()), on, x, "__z").select(*on, F.col(t).alias("__t"), "__z")
     a = z.withColumn("lag", F.explode(F.sequence(F.lit(0), F.lit(max_lag)))).withColumn("__u", F.col("__t") + F.col("lag"))
     b = z.select(*on, F.col("__t").alias("__u"), F.col("__z").alias("__y"))
     return a.join(b, [*on, "__u"]).groupBy(*on, "lag").agg(F.avg(F.col("__z") * F.col("__y")).alias("rho"), F.count("*").alias("n"))

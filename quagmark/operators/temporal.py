@@ -49,6 +49,15 @@ def asof(left: DataFrame, right: DataFrame, on: list[str], time: str, columns: l
     return union.select("__left.*", *(F.col(f"__c.__r_{c}").alias(prefix + c) for c in columns), ((F.col("__c.__t") - F.col("__t")) / HOUR_US).alias(prefix + "lag_h"))
 
 
+def nearest_valid(queries: DataFrame, scenes: DataFrame, on: list[str], time: str, value: str, valid: str, tolerance_s: int, min_valid: float = 0.5) -> DataFrame:
+    """Every row of ``queries`` (a pixel and a time) with ``value`` of the nearest scene in which that pixel is valid, and ``lag_h``.
+
+    Scenes in which the pixel has no value or is valid to less than ``min_valid`` are passed over, whatever their distance; see ``asof``.
+    """
+    seen = scenes.where(F.col(value).isNotNull() & (F.col(valid) >= min_valid))
+    return asof(queries, seen, on, time, [value], tolerance_s, "nearest", value)
+
+
 def value_at(queries: DataFrame, series: DataFrame, on: list[str], time: str, value: str, max_gap_s: int | None, name: str) -> DataFrame:
     """``queries`` with the linear interpolation of ``value`` at their time; null outside the record and where the neighbours are more than ``max_gap_s`` apart; an exact hit is the value itself."""
     known = series.where(F.col(value).isNotNull()).select(*on, time, F.col(value).alias("__v"), F.unix_micros(F.col(time).cast("timestamp")).alias("__at"))

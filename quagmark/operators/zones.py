@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quagmark.operators.stats import corr
+from quagmark.operators.stats import corr, joined, standardized
 
 
 def pair_stats(df: DataFrame, on: list[str], value: str, inside: Column, limit: float = 0.3) -> DataFrame:
@@ -82,11 +82,12 @@ def column_links(df: DataFrame, cell: str, x: str, y: str, min_n: int = 5) -> Da
 
 def correlation_length(grid: DataFrame, row: str, col: str, value: str, max_lag: int = 12) -> DataFrame:
     """Autocorrelation of a field by lag along rows and columns (joined by equality), and the first lag below 1/e."""
-    m = grid.where(F.col(value).isNotNull()).select(row, col, ((F.col(value) - F.avg(value).over(Window.partitionBy())) / F.stddev_pop(value).over(Window.partitionBy())).alias("__z"))
+    m = standardized(grid.where(F.col(value).isNotNull()), [], value, "__z").select(row, col, "__z")
     lags = m.withColumn("lag", F.explode(F.sequence(F.lit(1), F.lit(max_lag))))
     ahead = lags.select((F.col(row) + F.col("lag")).alias(row), col, "lag", F.col("__z").alias("__y")).unionByName(lags.select(row, (F.col(col) + F.col("lag")).alias(col), "lag", F.col("__z").alias("__y")))
     rho = ahead.join(m, [row, col]).groupBy("lag").agg(F.avg(F.col("__z") * F.col("__y")).alias("rho"), F.count("*").alias("n"))
-    return rho.withColumn("length", F.min(F.when(F.col("rho") < float(np.exp(-1)), F.col("lag"))).over(Window.partitionBy()))
+    first = rho.agg(F.min(F.when(F.col("rho") < float(np.exp(-1)), F.col("lag"))).alias("length"))
+    return joined(rho, first, [])
 
 
 def kmeans_choice(df: DataFrame, vector: str, ks: range, seed: int = 0) -> pd.DataFrame:

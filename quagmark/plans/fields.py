@@ -192,4 +192,4 @@ def nested_selection(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT o_orderkey, round((o_totalprice - avg(o_totalprice) OVER (PARTITION BY o_orderstatus)) / stddev_pop(o_totalprice) OVER (PARTITION BY o_orderstatus), 6) AS z FROM orders")
 def z_scores(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders")
-    return rounded(o.select("o_orderkey", stats.standardized(o, ["o_orderstatus"], "o_totalprice").alias("z")))
+    return rounded(stats.standardized(o, ["o_orderstatus"], "o_totalprice", "z").select("o_orderkey", "z"))

@@ -15,6 +15,12 @@ from quagmark.sources.tables import table
 TURN = 2 * math.pi
 
 
+def _p_sql(z: str) -> str:
+    """The two-sided p of a normal z in SQL, by the series of ``stats.normal_cdf``."""
+    t = f"(1 / (1 + 0.3275911 * (({z}) / sqrt(2.0))))"
+    return f"({t} * (0.254829592 + {t} * (-0.284496736 + {t} * (1.421413741 + {t} * (-1.453152027 + {t} * 1.061405429)))) * exp(-({z}) * ({z}) / 2))"
+
+
 def lineitem(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem")
 
@@ -74,33 +80,56 @@ def rank_correlation(spark: SparkSession, d: str) -> DataFrame:
     return rounded(stats.spearman(table(spark, d, "events"), ["event_type"], "value", "user_id"))
 
 
-@query("""WITH r AS (SELECT event_type, user_id % 2 = 0 AS f, rank() OVER (PARTITION BY event_type ORDER BY value) + (count(*) OVER (PARTITION BY event_type, value) - 1) / 2.0 AS r FROM events)
-SELECT event_type, count(*) FILTER (f) AS n1, count(*) FILTER (NOT f) AS n2, round(sum(r) FILTER (f) - count(*) FILTER (f) * (count(*) FILTER (f) + 1) / 2.0, 4) AS u FROM r GROUP BY 1""")
+@query(f"""WITH r AS (SELECT event_type, user_id % 2 = 0 AS f, value, rank() OVER (PARTITION BY event_type ORDER BY value) + (count(*) OVER (PARTITION BY event_type, value) - 1) / 2.0 AS r FROM events),
+t AS (SELECT event_type, sum(c * (c * c - 1)) AS ties FROM (SELECT event_type, value, count(*)::DOUBLE AS c FROM r GROUP BY ALL) GROUP BY 1),
+g AS (SELECT event_type, count(*) FILTER (f) AS n1, count(*) FILTER (NOT f) AS n2, sum(r) FILTER (f) - count(*) FILTER (f) * (count(*) FILTER (f) + 1) / 2.0 AS u FROM r GROUP BY 1),
+z AS (SELECT *, greatest(abs(u - n1 * n2 / 2.0) - 0.5, 0) / sqrt(n1 * n2 / 12.0 * (n1 + n2 + 1 - ties / ((n1 + n2) * (n1 + n2 - 1)))) AS z FROM g JOIN t USING (event_type))
+SELECT event_type, n1, n2, round(u, 4) AS u, round({_p_sql('z')}, 4) AS p FROM z""")
 def mann_whitney(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(stats.mann_whitney(table(spark, d, "events"), ["event_type"], "value", F.col("user_id") % 2 == 0).drop("p"), 4)
+    return rounded(stats.mann_whitney(table(spark, d, "events"), ["event_type"], "value", F.col("user_id") % 2 == 0), 4)
 
 
-@query("""WITH x AS (SELECT l_orderkey, CAST(sum(CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE 0 END) - sum(CASE WHEN l_returnflag = 'A' THEN l_quantity ELSE 0 END) AS DOUBLE) AS delta FROM lineitem GROUP BY 1), r AS (SELECT delta, rank() OVER (ORDER BY abs(delta)) + (count(*) OVER (PARTITION BY abs(delta)) - 1) / 2.0 AS r FROM x WHERE delta <> 0)
-SELECT count(*) AS n, round(sum(CASE WHEN delta > 0 THEN r ELSE 0 END), 3) AS w_plus, round(sum(CASE WHEN delta < 0 THEN r ELSE 0 END), 3) AS w_minus FROM r""")
+@query(f"""WITH x AS (SELECT l_orderkey, CAST(sum(CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE 0 END) - sum(CASE WHEN l_returnflag = 'A' THEN l_quantity ELSE 0 END) AS DOUBLE) AS delta FROM lineitem GROUP BY 1), r AS (SELECT delta, rank() OVER (ORDER BY abs(delta)) + (count(*) OVER (PARTITION BY abs(delta)) - 1) / 2.0 AS r FROM x WHERE delta <> 0),
+t AS (SELECT sum(c * (c * c - 1)) AS ties FROM (SELECT abs(delta), count(*)::DOUBLE AS c FROM r GROUP BY 1)), g AS (SELECT count(*)::DOUBLE AS n, sum(CASE WHEN delta > 0 THEN r ELSE 0 END) AS w_plus, sum(CASE WHEN delta < 0 THEN r ELSE 0 END) AS w_minus FROM r),
+z AS (SELECT *, abs(w_plus - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48) AS z FROM g, t)
+SELECT CAST(n AS BIGINT) AS n, round(w_plus, 3) AS w_plus, round(w_minus, 3) AS w_minus, round({_p_sql('z')}, 3) AS p FROM z""")
 def wilcoxon(spark: SparkSession, d: str) -> DataFrame:
     q = lambda f: F.sum(F.when(F.col("l_returnflag") == f, F.col("l_quantity")).otherwise(0.0))
     x = lineitem(spark, d).groupBy("l_orderkey").agg((q("R") - q("A")).alias("delta"))
-    return rounded(stats.wilcoxon(x, [], "delta").drop("p"), 3)
+    return rounded(stats.wilcoxon(x, [], "delta"), 3)
 
 
-@query("""WITH y AS (SELECT o_orderstatus, year(o_orderdate) AS yr, avg(o_totalprice) AS v FROM orders GROUP BY ALL), p AS (SELECT a.o_orderstatus, (b.v - a.v) / (b.yr - a.yr) AS s, sign(b.v - a.v) AS k FROM y a JOIN y b ON a.o_orderstatus = b.o_orderstatus AND b.yr > a.yr)
-SELECT o_orderstatus, round(median(s), 4) AS slope, round(sum(k) / sqrt(count(*) * (count(*) - count(*) FILTER (k = 0))), 6) AS tau, count(*) AS pairs FROM p GROUP BY 1""")
+@query(f"""WITH y AS (SELECT o_orderstatus, (year(o_orderdate) * 12 + month(o_orderdate))::DOUBLE AS x, avg(o_totalprice) AS y FROM orders GROUP BY ALL), c AS (SELECT o_orderstatus, count(*)::DOUBLE AS n, median(x) AS mx, median(y) AS my FROM y GROUP BY 1),
+p AS (SELECT a.o_orderstatus, (b.y - a.y) / (b.x - a.x) AS s, sign(b.y - a.y) AS k FROM y a JOIN y b ON a.o_orderstatus = b.o_orderstatus AND b.x > a.x), q AS (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY s) - 1 AS i, count(*) OVER (PARTITION BY o_orderstatus) AS nt FROM p),
+h AS (SELECT q.*, n, mx, my, 1.959964 * sqrt(n * (n - 1) * (2 * n + 5) / 18) AS half FROM q JOIN c USING (o_orderstatus)),
+g AS (SELECT o_orderstatus, median(s) AS slope, any_value(mx) AS mx, any_value(my) AS my, any_value(n) AS n, sum(k) AS sk, count(*) AS pairs, max(s) FILTER (i = greatest(round_even((nt - half) / 2, 0) - 1, 0)) AS low, max(s) FILTER (i = least(round_even((nt + half) / 2, 0), nt - 1)) AS high FROM h GROUP BY 1)
+SELECT o_orderstatus, round(slope, 3) AS slope, round(my - slope * mx, 1) AS intercept, round(low, 3) AS low, round(high, 3) AS high, round(sk / (n * (n - 1) / 2), 6) AS tau, round({_p_sql('abs(sk) / sqrt(n * (n - 1) * (2 * n + 5) / 18)')}, 4) AS p, pairs FROM g WHERE n > 33""")
 def theil_sen(spark: SparkSession, d: str) -> DataFrame:
-    y = table(spark, d, "orders").groupBy("o_orderstatus", F.year("o_orderdate").alias("yr")).agg(F.avg("o_totalprice").alias("v"))
-    t = stats.theil_sen(y, ["o_orderstatus"], "yr", "v")
-    return t.select("o_orderstatus", F.round("slope", 4).alias("slope"), r6(F.col("tau")).alias("tau"), "pairs")
+    y = table(spark, d, "orders").groupBy("o_orderstatus", (F.year("o_orderdate") * 12 + F.month("o_orderdate")).cast("double").alias("x")).agg(F.avg("o_totalprice").alias("y"))
+    # shorter series have an exact p, which SQL has not
+    long = y.join(y.groupBy("o_orderstatus").agg(F.count("*").alias("n")).where("n > 33"), "o_orderstatus")
+    t = stats.theil_sen(long, ["o_orderstatus"], "x", "y")
+    digits = {"slope": 3, "intercept": 1, "low": 3, "high": 3, "tau": 6, "p": 4}
+    return t.select("o_orderstatus", *(F.round(c, k).alias(c) for c, k in digits.items()), "pairs")
+
+
+@query("""WITH e AS (SELECT event_type, list_sort(list_distinct(quantile_cont(value, [0, 0.2, 0.4, 0.6, 0.8, 1]))) AS e FROM events GROUP BY 1), b AS (SELECT event_type, value, user_id, least(len(list_filter(e, lambda x: x <= value)), len(e) - 1) - 1 AS bin FROM events JOIN e USING (event_type)),
+q AS (SELECT event_type, bin, median(value) AS mx, quantile_cont(user_id, 0.9) AS qy FROM b GROUP BY 1, 2) SELECT event_type, count(*) AS bins, round(regr_slope(qy, mx), 6) AS slope FROM q GROUP BY 1""")
+def upper_envelope(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(stats.envelope_slope(table(spark, d, "events"), ["event_type"], "value", "user_id", 5, 0.9))
+
+
+@query("SELECT p_brand, CAST(t AS INTEGER) AS quarter, count(*) AS n, min(p_retailprice) AS low FROM (SELECT p_brand, p_retailprice, ntile(4) OVER (PARTITION BY p_brand ORDER BY p_retailprice, p_partkey) AS t FROM part) GROUP BY ALL")
+def price_quarters(spark: SparkSession, d: str) -> DataFrame:
+    t = F.ntile(4).over(Window.partitionBy("p_brand").orderBy("p_retailprice", "p_partkey"))
+    return table(spark, d, "part").withColumn("quarter", t).groupBy("p_brand", "quarter").agg(F.count("*").alias("n"), F.min("p_retailprice").alias("low"))
 
 
 @query("""WITH p AS (SELECT event_id, event_type, value / 100 AS p FROM events), k AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY p, event_id) AS k, count(*) OVER (PARTITION BY event_type) AS m FROM p)
 SELECT event_id, round(least(1.0, min(p * m / k) OVER (PARTITION BY event_type ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 9) AS q FROM k""")
 def false_discovery(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "events").select("event_id", "event_type", (F.col("value") / 100).alias("p"))
-    return rounded(stats.bh_qvalues(p, ["event_type"], "p", "event_id").select("event_id", "q"), 9)
+    return rounded(stats.bh_qvalues(p, ["event_type"], "p").select("event_id", "q"), 9)
 
 
 @query("""WITH m AS (SELECT l_returnflag, median(l_extendedprice) AS md FROM lineitem GROUP BY 1) SELECT l_returnflag, round(any_value(md), 4) AS median, round(1.4826 * median(abs(l_extendedprice - md)), 4) AS robust_sd, count(*) AS n FROM lineitem JOIN m USING (l_returnflag) GROUP BY 1""")
@@ -142,7 +171,7 @@ def circular_shift(spark: SparkSession, d: str) -> DataFrame:
 
 
 _DRAWS = f"""{_MONTHLY}, b AS (SELECT m, row_number() OVER (ORDER BY m) - 1 AS k, count(*) OVER () AS n FROM mo), dr AS (SELECT CAST(unnest(range(0, 200)) AS INTEGER) AS draw),
-p AS (SELECT draw, (((draw * 7919 + k * 104729 + 7 * 15485863) * 1103515245 + 12345) % 2147483648 // 65536) % n AS pick FROM dr CROSS JOIN b), w AS (SELECT draw, b.m, count(*) AS w FROM p JOIN b ON b.k = p.pick GROUP BY ALL)"""
+p AS (SELECT draw, CAST('0x' || substr(md5('7-' || draw || '-' || k), 1, 8) AS BIGINT) % n AS pick FROM dr CROSS JOIN b), w AS (SELECT draw, b.m, count(*) AS w FROM p JOIN b ON b.k = p.pick GROUP BY ALL)"""
 
 
 @query(f"{_DRAWS} SELECT draw, m, w FROM w")

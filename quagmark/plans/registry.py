@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quagmark.plans import book, dealt, fields, grids, live, numbers, series  # noqa: F401
+from quagmark.plans import book, dealt, fields, grids, live, nets, numbers, series  # noqa: F401
 
 
 def queries() -> dict[str, book.Query]:

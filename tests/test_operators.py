@@ -172,7 +172,7 @@ def test_fit_equals_least_squares(spark):
 
 def test_false_discovery_rates(spark):
     df = frame(spark, [(1, 0.01), (2, 0.04), (3, 0.03), (4, 0.2), (5, None)], "i int, p double")
-    got = {r.i: r.q for r in stats.bh_qvalues(df, [], "p", "i").collect()}
+    got = {r.i: r.q for r in stats.bh_qvalues(df, [], "p").collect()}
     assert [None if got[i] is None else round(got[i], 5) for i in range(1, 6)] == [0.04, 0.05333, 0.05333, 0.2, None]
 
 
