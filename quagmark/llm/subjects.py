@@ -101,17 +101,52 @@ def spread(one: DataFrame, key: str, hot: DataFrame) -> DataFrame:
     return one.join(F.broadcast(hot), key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
 
 
+#: An odd 64-bit number whose powers tell the places of words apart, and another that mixes bits.
+BASE, MIXER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+
+
+def patterns(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The patterns of passages, as 64-bit hashes: of each its passage's number, and itself. Words are joined by blanks; no passage has a pattern twice.
+
+    The hash of a list of words is a polynomial of the words' hashes, so that of a list without a word is a sum over those before and those after it.
+    """
+    lists = pc.split_pattern(words, " ")
+    n = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = pc.dictionary_encode(lists.flatten())
+    names = coded.dictionary.to_pylist()
+    hashes = np.fromiter((xxhash.xxh64_intdigest(x) for x in names), np.uint64, len(names))[coded.indices.to_numpy(zero_copy_only=False)]
+    start = np.concatenate([[0], np.cumsum(n)])
+    row = np.repeat(np.arange(len(n)), n)
+    at = np.arange(len(row)) - start[row]
+    with np.errstate(over="ignore"):
+        powers = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(int(n.max(initial=0)), BASE)]))
+        zero = np.zeros(1, np.uint64)
+        here, shifted = (np.concatenate([zero, np.cumsum(hashes * powers[i], dtype=np.uint64)]) for i in (at, np.maximum(at - 1, 0)))
+        k = np.arange(len(row))
+        without = here[k] - here[start[row]] + shifted[start[row + 1]] - shifted[k + 1]
+        new = np.flatnonzero((at == 0) | (hashes != np.roll(hashes, 1)))  # a repeated word may be taken out once
+        raw = np.concatenate([without[new], here[start[1:]] - here[start[:-1]]]) + np.concatenate([n[row[new]] - 1, n]).astype(np.uint64)
+        for _ in range(2):
+            raw = (raw ^ (raw >> np.uint64(32))) * MIXER
+    return np.concatenate([row[new], np.arange(len(n))]), (raw ^ (raw >> np.uint64(32))).view(np.int64)
+
+
+def _patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        of, keys = patterns(b["words"].cast(pa.string()))
+        yield pa.RecordBatch.from_arrays([pa.array(keys), b["skeleton"].take(pa.array(of))], names=["pattern", "skeleton"])
+
+
 def links(nodes: DataFrame, similarity: float) -> DataFrame:
     """(pattern, skeleton, n): the link nodes that two or more passages share, and how many share each. ``nodes``: (skeleton, words). One shuffle.
 
     A passage of n words has n + 1 patterns, itself and itself without each word, if (n - 1) / (n + 1) is ``similarity`` or more.
     """
     least = math.ceil((1 + similarity) / (1 - similarity) - 1e-9)
-    w = F.split("words", " ")
-    without = F.transform(F.sequence(F.lit(1), F.size("w")), lambda k: F.xxhash64(F.concat(F.slice("w", F.lit(1), k - 1), F.slice("w", k + 1, F.size("w")))))
-    keyed = nodes.select("skeleton", w.alias("w")).where(F.size("w") >= least).select("skeleton", F.explode(F.array_distinct(F.concat(F.array(F.xxhash64("w")), without))).alias("pattern"))
-    keyed = keyed.where("pattern IS NOT NULL").repartition("pattern")
-    shared = keyed.groupBy("pattern").agg(F.count("*").alias("n")).where("n > 1")
+    long_enough = nodes.where(F.length("words") - F.length(F.replace("words", F.lit(" "), F.lit(""))) + 1 >= least)
+    keyed = long_enough.select("skeleton", "words").mapInArrow(_patterns, "pattern bigint, skeleton bigint").where("pattern IS NOT NULL AND skeleton IS NOT NULL").repartition("pattern")
+    # both sides need the same columns, so that they share the exchange
+    shared = keyed.groupBy("pattern").agg(F.count("*").alias("n"), F.min("skeleton").alias("first"), F.max("skeleton").alias("last")).where("first <> last").select("pattern", "n")
     return keyed.join(shared, "pattern").select("pattern", "skeleton", "n")
 
 
@@ -137,16 +172,19 @@ def document_subjects(
     member = keep(links(nodes, similarity))
     hot_patterns = keep(hot_keys(member.select("pattern", "n").distinct(), "pattern", member.count()))
     member = member.select("pattern", "skeleton")
-    seeds = keep(labels.where("doc_id IS NOT NULL AND subject IS NOT NULL").groupBy("doc_id").agg(F.collect_set("subject").alias("own")))
+    # subjects are numbers until the end
+    trusted = labels.where("doc_id IS NOT NULL AND subject IS NOT NULL").select("doc_id", F.xxhash64("subject").alias("subject"), F.col("subject").alias("name"))
+    seeds = keep(trusted.groupBy("doc_id").agg(F.collect_set("subject").alias("own")))
+    names = keep(trusted.select("subject", "name").distinct())
     rate = F.count("*") / F.lit(max(1, seeds.count()))
     floors = keep(seeds.select(F.explode("own").alias("subject")).groupBy("subject").agg((rate + even * (1 - rate)).alias("floor")))
 
     # a passage's first score is the part of its labelled occurrences whose document has the subject: near 1 on the subject, far lower for chatter
     on_seeds = pars.join(seeds, "doc_id").select(F.explode("skeletons").alias("skeleton"), "own")
-    mass = on_seeds.select("skeleton", F.explode(F.concat("own", F.array(F.lit(None).cast("string")))).alias("subject")).groupBy("skeleton", "subject").agg(F.count("*").cast("double").alias("mass"))
+    mass = on_seeds.select("skeleton", F.explode(F.concat("own", F.array(F.lit(None).cast("long")))).alias("subject")).groupBy("skeleton", "subject").agg(F.count("*").cast("double").alias("mass"))
     scores = keep(_smoothed(mass, member, hot_patterns, link_weight))
     best = keep(_best(scores, sure))
-    every_total = nodes.select("skeleton", F.lit(None).cast("string").alias("subject"), F.col("n").alias("mass"))
+    every_total = nodes.select("skeleton", F.lit(None).cast("long").alias("subject"), F.col("n").alias("mass"))
     occ = salted(pars.select("doc_id", "par", "size", F.explode("skeletons").alias("skeleton")), "skeleton", hot, F.col("par"))
     for number in range(most_rounds):
         # labels are of documents, so chatter has the subjects' shares at first; shares of paragraphs know no such base
@@ -168,7 +206,7 @@ def document_subjects(
         warnings.warn(f"subjects still change after {most_rounds} rounds", stacklevel=2)
     counts = occ.join(spread(best, "skeleton", hot), ["skeleton", "salt"]).groupBy("doc_id", "par", "subject").agg(F.count("*").alias("c"))
     given = counts.withColumn("most", F.max("c").over(Window.partitionBy("par"))).where((F.col("c") >= least) & (F.col("c") == F.col("most")))
-    return given.select("doc_id", "subject").distinct()
+    return given.select("doc_id", "subject").distinct().join(names, "subject").select("doc_id", F.col("name").alias("subject"))
 
 
 def _best(scores: DataFrame, sure: float) -> DataFrame:
@@ -182,7 +220,8 @@ def _smoothed(mass: DataFrame, member: DataFrame, hot_patterns: DataFrame, link_
     ``mass``: (skeleton, subject, mass), where the row without a subject holds the passage's whole mass. The same sums per link
     node, scaled to a whole of ``link_weight``, are added to every passage of the node.
     """
-    own = mass.groupBy("skeleton", "subject").agg(F.sum("mass").alias("mass"))
+    # without the null skeletons that there are none of, as the joins infer it, so that all uses share one exchange
+    own = mass.where("skeleton IS NOT NULL").groupBy("skeleton", "subject").agg(F.sum("mass").alias("mass"))
     by_pattern = member.join(own, "skeleton").groupBy("pattern", "subject").agg(F.sum("mass").alias("mass"))
     whole = lambda key: F.max(F.when(F.col("subject").isNull(), F.col("mass"))).over(Window.partitionBy(key))
     scaled = by_pattern.withColumn("whole", whole("pattern")).select("pattern", "subject", (F.col("mass") / F.col("whole") * link_weight).alias("mass"))
