@@ -44,10 +44,11 @@ def nearest_in_time(left: DataFrame, right: DataFrame, on: list[str], left_us: s
     own_tick = F.expr(f"(__us - pmod(__us, {width}L)) div {width}L")
     r = right.select(*(F.col(c).alias(k) for c, k in zip(on, keys, strict=True)), F.col(right_us).cast("long").alias("__us"), F.col(right_id).alias("__id")).dropna()
     r = r.groupBy(*keys, "__us").agg(F.min("__id").alias("__id")).withColumn("__own", own_tick)
-    spread = r.withColumn("__off", F.explode(F.sequence(F.lit(-reach), F.lit(reach)))).withColumn("__cell", F.col("__own") + F.col("__off"))
+    others = F.array(*(F.lit(k) for k in range(-reach, reach + 1) if k))  # the own tick is looked at below
+    spread = r.withColumn("__off", F.explode(others)).withColumn("__cell", F.col("__own") + F.col("__off"))
     at = F.struct(F.col("__us").alias("us"), (-F.col("__id")).alias("minus_id"))
     # the nearest on either side: the last before the tick, the first after it
-    kept = spread.where("__off <> 0").groupBy(*keys, "__cell").agg(F.max(F.when(F.col("__off") > 0, at)).alias("__before"), F.min(F.when(F.col("__off") < 0, F.struct(F.col("__us").alias("us"), F.col("__id").alias("id")))).alias("__after"))
+    kept = spread.groupBy(*keys, "__cell").agg(F.max(F.when(F.col("__off") > 0, at)).alias("__before"), F.min(F.when(F.col("__off") < 0, F.struct(F.col("__us").alias("us"), F.col("__id").alias("id")))).alias("__after"))
 
     stamped = left.withColumn("__t", F.col(left_us).cast("long"))
     once = stamped.select(*(F.col(c).alias(k) for c, k in zip(on, keys, strict=True)), F.col("__t").alias("__us")).dropna().distinct().withColumn("__cell", own_tick)

@@ -90,8 +90,8 @@ def containers(sizes: DataFrame, lanes: list[tuple[str, int]], items_per_worker:
     An item longer than a lane's capacity is split into parts of the capacity and a rest (part counts from 0); no other is
     split. Null sizes count as 0, and items of size 0 are put in like any other. Items are dealt to workers by a hash, and a worker
     sorts its own, so that a repeated task packs alike; repeated rows are packed as often as they occur. A container filled by less than
-    ``full`` is unpacked and its items dealt again, for ``rounds`` rounds, the last of which keeps all. No worker holds more than
-    about ``items_per_worker`` items. An empty table gives an empty result.
+    ``full`` is unpacked and its items dealt again, for ``rounds`` rounds, the last of which keeps all. Parts are counted
+    and dealt like items, so that a worker holds about ``items_per_worker`` of a lane. An empty table gives an empty result.
     """
     kind = sizes.schema["doc_id"].dataType.simpleString()
     lane_array = F.array(*(F.struct(F.lit(n).alias("lane"), F.lit(int(c)).cast("int").alias("capacity")) for n, c in lanes))
@@ -100,7 +100,8 @@ def containers(sizes: DataFrame, lanes: list[tuple[str, int]], items_per_worker:
     items = each.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
     items = items.select("lane", "capacity", "doc_id", "part", F.least("capacity", F.col("size") - F.col("part") * F.col("capacity")).cast("int").alias("n_tokens"))
     done = None
-    left, n = items, sizes.count()
+    most = lambda df: max((r["n"] for r in df.groupBy("lane").agg(F.count("*").alias("n")).collect()), default=0)
+    left, n = items, most(items)
     for number in range(rounds):
         workers = max(1, -(-n // items_per_worker))
         last = number == rounds - 1 or workers == 1
@@ -114,7 +115,7 @@ def containers(sizes: DataFrame, lanes: list[tuple[str, int]], items_per_worker:
         settled = out.where("settled")
         done = settled if done is None else done.unionByName(settled)
         left = out.where("NOT settled").select("lane", "capacity", "doc_id", "part", "n_tokens")
-        n = max((r["n"] for r in left.groupBy("lane").agg(F.count("*").alias("n")).collect()), default=0)
+        n = most(left)
         if n == 0:
             break
     return done.select("lane", "capacity", "container", "doc_id", "part", "n_tokens")

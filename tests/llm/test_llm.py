@@ -126,8 +126,21 @@ def test_packing_is_the_same_again(spark):
 
 
 def test_harmonic_classes():
-    assert [sorted(b) for b in pack.packed([256, 256, 257, 170, 170, 170], 512)] == [[2, 5], [0, 1], [3, 4]] or all(sum([256, 256, 257, 170, 170, 170][i] for i in b) <= 512 for b in pack.packed([256, 256, 257, 170, 170, 170], 512))
-    assert pack.packed([], 512) == [] and pack.packed([0, 0], 512) == [[1, 0]] or len(pack.packed([0, 0], 512)) == 1
+    # sizes above half a container lie alone, those above a third in pairs of their class, and what is left over is topped up from finer classes
+    sizes = [300, 290, 200, 190, 180, 175, 20, 15]
+    bins = [sorted(sizes[i] for i in b) for b in pack.packed(sizes, 512)]
+    assert bins == [[200, 300], [20, 190, 290], [15, 175, 180]]
+    rng = random.Random(3)
+    sizes = [rng.randrange(1, 513) for _ in range(2000)]
+    bins = pack.packed(sizes, 512)
+    assert sorted(i for b in bins for i in b) == list(range(2000)) and all(0 < sum(sizes[i] for i in b) <= 512 for b in bins)
+    # a container that begins with class k holds k items of it while the class lasts
+    for b in bins:
+        k = 512 // sizes[b[0]]
+        own = sum(512 // sizes[i] == k for i in b)
+        left_later = [i for c in bins[bins.index(b) + 1 :] for i in c if 512 // sizes[i] == k]
+        assert own >= k or not left_later or sum(sizes[i] for i in b[:own]) + min(sizes[i] for i in left_later) > 512
+    assert pack.packed([], 512) == [] and sorted(pack.packed([0, 0], 512)[0]) == [0, 1]
 
 
 # subjects
