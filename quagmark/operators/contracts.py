@@ -6,7 +6,7 @@ import math
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -62,6 +62,14 @@ def table_diff(old: DataFrame, new: DataFrame, keys: list[str], columns: list[st
     return counts.select(F.inline(F.array(*items)))
 
 
+def joined_once(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """An equi-join that must be one to one: a key that either side has twice ends the query with an error, in the join's own plan and pass."""
+    once = lambda df: df.withColumn("__twice", F.count("*").over(Window.partitionBy(*keys)))
+    fail = F.when(F.coalesce(F.greatest("__twice", "__twice_right"), F.lit(1)) > 1, F.raise_error(F.concat(F.lit("key occurs twice: "), F.to_json(F.struct(*keys)))))
+    both = once(left).join(once(right).withColumnRenamed("__twice", "__twice_right"), keys, how)
+    return both.where(fail.cast("string").isNull()).drop("__twice", "__twice_right")
+
+
 def presence(sets: dict[str, DataFrame], key: str) -> DataFrame:
     """Every key of the named sets with a flag for each, by one union and one aggregate."""
     tagged = [df.select(F.col(key).alias("key")).distinct().withColumn("__s", F.lit(name)) for name, df in sets.items()]
@@ -81,6 +89,4 @@ def not_yet(items: DataFrame, manifest: DataFrame, key: str) -> DataFrame:
 
 def first_by(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """One row per key, the first in an explicit order."""
-    from pyspark.sql import Window
-
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__n = 1").drop("__n")

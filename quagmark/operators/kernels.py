@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -128,6 +128,146 @@ def gp_leave_one_out(df: DataFrame, on: list[str], rec_id: str, x: str, y: str,
     return per_group(usable.select(*on, rec_id, x, y), on, kernel, f"`{rec_id}` {kind}, loo double, sd double")
 
 
+def uncertain_sd(sd: Column, p_detect: Column, miss: float, floor: float = 0.05) -> Column:
+    """Observation spread that grows towards ``miss``, the error scale of a missed cycle, as the chance of seeing the motion falls: the variance of a mixture."""
+    p = F.least(F.greatest(p_detect, F.lit(floor)), F.lit(1.0))
+    return F.sqrt(sd * sd + (1 - p) * miss * miss)
+
+
+def increment_smooth(pairs: DataFrame, on: list[str], t1: str, t2: str, y: str, sd: str, p_detect: str, tau_days: float, sigma: float, miss: float) -> DataFrame:
+    """Per key the posterior (t, mean, sd) of an Ornstein-Uhlenbeck level from its own increments only, each as sure as it is likely to be seen."""
+    surer = pairs.withColumn(sd, uncertain_sd(F.col(sd), F.coalesce(F.col(p_detect), F.lit(0.0)), miss))
+    return ou_smooth(surer, on, t1, t2, y, sd, tau_days, sigma)
+
+
+def ou_bands(t: np.ndarray, tau: float, sigma: float) -> tuple[np.ndarray, np.ndarray]:
+    """Diagonal and off-diagonal of the precision of a stationary Ornstein-Uhlenbeck process at increasing times."""
+    rho = np.exp(-np.diff(t) / tau)
+    v = 1 / (sigma * sigma * (1 - rho * rho))
+    main = np.zeros(len(t))
+    main[0] = 1 / (sigma * sigma)
+    main[1:] += v
+    main[:-1] += rho * rho * v
+    return main, -rho * v
+
+
+def space_time_smooth(pairs: DataFrame, on: list[str], row: str, col: str, t1: str, t2: str, factor: str, y: str, sd: str, tau_days: float, sigma: float, kappa: float, close: float = 1e-9, most_steps: int = 5000) -> DataFrame:
+    """Per key (row, col, t, mean): the posterior mean of levels in space and time given differences of levels over pairs of dates.
+
+    The prior couples time by an Ornstein-Uhlenbeck process and space by the Laplacian of the pixels' four neighbours, as
+    (1 + kappa L) x Q. An observation is ``factor`` times the change of its pixel's level, with spread ``sd``. The system is never
+    built: conjugate gradients apply it, scaled by its diagonal; an error is raised if they do not come ``close``. A key is one site, of a size that its network bounds.
+    """
+    usable = pairs.where(F.col(y).isNotNull() & (F.col(sd) > 0) & F.col(factor).isNotNull() & F.col(row).isNotNull() & F.col(col).isNotNull() & (F.col(t2) > F.col(t1)))
+
+    def kernel(pdf: pd.DataFrame) -> dict:
+        dates, i, j = _network(pdf, t1, t2)
+        cells, px = np.unique(pdf[[row, col]].to_numpy(np.int64), axis=0, return_inverse=True)
+        px = px.ravel()
+        number = {tuple(c): k for k, c in enumerate(cells)}
+        sides = [(k, number[r + dr, c + dc]) for k, (r, c) in enumerate(map(tuple, cells)) for dr, dc in ((0, 1), (1, 0)) if (r + dr, c + dc) in number]
+        one, two = (np.array([e[x] for e in sides], int) for x in (0, 1))
+        main, off = ou_bands(dates.astype(float), tau_days, sigma)
+        f, w, obs = pdf[factor].to_numpy(float), pdf[sd].to_numpy(float) ** -2, pdf[y].to_numpy(float)
+        shape = (len(cells), len(dates))
+
+        def back(z: np.ndarray) -> np.ndarray:
+            out = np.zeros(shape)
+            np.add.at(out, (px, j), f * z)
+            np.add.at(out, (px, i), -f * z)
+            return out
+
+        def apply(x: np.ndarray) -> np.ndarray:
+            near = x.copy()
+            step = kappa * (x[one] - x[two])
+            np.add.at(near, one, step)
+            np.add.at(near, two, -step)
+            out = near * main
+            out[:, 1:] += near[:, :-1] * off
+            out[:, :-1] += near[:, 1:] * off
+            return out + back(w * f * (x[px, j] - x[px, i]))
+
+        degree = np.bincount(np.concatenate([one, two]), minlength=len(cells))
+        diagonal = (1 + kappa * degree)[:, None] * main
+        np.add.at(diagonal, (px, j), w * f * f)
+        np.add.at(diagonal, (px, i), w * f * f)
+        b = back(w * obs)
+        x, r = np.zeros(shape), b
+        z = r / diagonal
+        p, rz = z, (r * z).sum()
+        for _ in range(most_steps):
+            if np.sqrt((r * r).sum()) <= close * np.sqrt((b * b).sum()):
+                break
+            ap = apply(p)
+            alpha = rz / (p * ap).sum()
+            x, r = x + alpha * p, r - alpha * ap
+            z = r / diagonal
+            before, rz = rz, (r * z).sum()
+            p = z + rz / before * p
+        else:
+            raise ValueError(f"the smoother does not come close in {most_steps} steps")
+        k, t = np.indices(shape)
+        return {row: cells[k.ravel(), 0], col: cells[k.ravel(), 1], "t": dates.astype(np.int64)[t.ravel()], "mean": x.ravel()}
+
+    return per_group(usable.select(*on, row, col, t1, t2, factor, y, sd), on, kernel, f"`{row}` long, `{col}` long, t long, mean double")
+
+
+#: Length scales (in spreads of the features) and shares of noise that a Gaussian process may be fitted to.
+GP_LENGTHS, GP_NOISES = (0.3, 0.5, 0.8, 1.3, 2.0, 3.5, 6.0, 10.0, 20.0), (0.001, 0.01, 0.03, 0.1, 0.3, 1.0, 3.0)
+
+
+class Transfer:
+    """A Gaussian process with a squared-exponential kernel over standardised features, fitted by the likelihood on a grid."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray):
+        self.at, self.by = x.mean(axis=0), np.where(x.std(axis=0) > 0, x.std(axis=0), 1.0)
+        self.x, self.middle, self.scale = (x - self.at) / self.by, y.mean(), y.std() or 1.0
+        z = (y - self.middle) / self.scale
+        d2 = ((self.x[:, None] - self.x) ** 2).sum(axis=2)
+        best = None
+        for length in GP_LENGTHS:
+            k = np.exp(-0.5 * d2 / length**2)
+            for noise in GP_NOISES:
+                cov = k + noise * np.eye(len(y))
+                v = (z @ np.linalg.solve(cov, z)) / len(y)
+                score = -0.5 * (len(y) * np.log(max(v, 1e-12)) + np.linalg.slogdet(cov)[1])
+                if best is None or score > best[0]:
+                    best = (score, length, noise, v, cov)
+        _, self.length, self.noise, self.variance, cov = best
+        self.inverse = np.linalg.inv(cov)
+        self.weights = self.inverse @ z
+        self.loo = self.middle + self.scale * (z - self.weights / np.diag(self.inverse))
+
+    def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        u = (x - self.at) / self.by
+        d2 = (u * u).sum(axis=1)[:, None] + (self.x * self.x).sum(axis=1) - 2 * u @ self.x.T
+        k = np.exp(-0.5 * np.maximum(d2, 0) / self.length**2)
+        left = 1 + self.noise - np.einsum("ij,jk,ik->i", k, self.inverse, k)
+        return self.middle + self.scale * (k @ self.weights), self.scale * np.sqrt(self.variance * np.maximum(left, 0))
+
+
+def gp_transfer(points: DataFrame, rec_id: str, vector: str, train: DataFrame, train_vector: str, y: str, most: int = 2000) -> tuple[DataFrame, dict[str, float]]:
+    """(rec_id, mean, sd) of a trait for every point, learnt from plots where it is known, and the skill of leaving plots out against their mean.
+
+    ``train`` is a table of plots, bounded by ``most`` (else an error); points are predicted where they lie.
+    """
+    rows = train.select(train_vector, y).dropna().orderBy(y).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} training points")
+    x, known = np.array([r[0] for r in rows], float), np.array([r[1] for r in rows], float)
+    model = Transfer(x, known)
+    without = (known.sum() - known) / (len(known) - 1)
+    rmse, plain = (float(np.sqrt(np.mean((p - known) ** 2))) for p in (model.loo, without))
+
+    @F.pandas_udf("struct<mean:double,sd:double>")
+    def predicted(v: pd.Series) -> pd.DataFrame:
+        mean, sd = model.predict(np.stack(v.to_numpy()).astype(float))
+        return pd.DataFrame({"mean": mean, "sd": sd})
+
+    out = points.where(F.col(vector).isNotNull()).select(rec_id, predicted(vector).alias("p")).select(rec_id, "p.mean", "p.sd")
+    return out, {"rmse_loo": rmse, "rmse_mean": plain, "skill": 1 - (rmse / plain) ** 2 if plain > 0 else float("nan")}
+
+
 def bayes_line(df: DataFrame, on: list[str], columns: list[str], y: str, prior_sd: float = 10.0, close: float = 1e-9, most_rounds: int = 10_000) -> DataFrame:
     """Per key the posterior mean of regression coefficients with a normal prior and an estimated noise scale, from sums of products only.
 
@@ -251,3 +391,37 @@ def phase_shift(images: DataFrame, on: list[str], ref: str, moved: str, width: i
         return pd.DataFrame(out, columns=["dr", "dc"])
 
     return images.select(*on, shift(ref, moved).alias("s")).select(*on, "s.dr", "s.dc")
+
+
+def filtered_phase(re: np.ndarray, im: np.ndarray, alpha: float, window: int, step: int) -> np.ndarray:
+    """A phase image, complex, whose spectrum is weighted in overlapping windows by its smoothed magnitude to the power of ``alpha``; unknown cells stay so (in columns: null)."""
+    z = re + 1j * im
+    known = np.isfinite(z)
+    unit = np.where(known, np.where(known, z, 0) / np.maximum(np.abs(np.where(known, z, 1)), 1e-12), 0)
+    half = window // 2
+    padded = np.pad(unit, [(half, window + (-n) % step) for n in z.shape])
+    taper = np.outer(np.hanning(window), np.hanning(window)) + 1e-6
+    total, weight = np.zeros_like(padded), np.zeros(padded.shape)
+    views = np.lib.stride_tricks.sliding_window_view(padded, (window, window))[::step, ::step]
+    spectrum = np.fft.fft2(views)
+    rim = np.pad(np.abs(spectrum), [(0, 0), (0, 0), (1, 1), (1, 1)], mode="symmetric")
+    smooth = sum(rim[..., r : r + window, c : c + window] for r in range(3) for c in range(3)) / 9
+    gain = (smooth / np.maximum(smooth.max(axis=(2, 3), keepdims=True), 1e-12)) ** alpha
+    parts = np.fft.ifft2(spectrum * gain) * taper
+    for r, c in np.ndindex(views.shape[:2]):
+        at = (slice(r * step, r * step + window), slice(c * step, c * step + window))
+        total[at] += parts[r, c]
+        weight[at] += taper
+    out = (total / np.maximum(weight, 1e-12))[half : half + z.shape[0], half : half + z.shape[1]]
+    return np.where(known, out, np.nan)
+
+
+def phase_filter(images: DataFrame, on: list[str], re: str, im: str, width: int, alpha: float = 0.5, window: int = 32, step: int = 8) -> DataFrame:
+    """Per key the filtered image as arrays ``re`` and ``im``; images are flat arrays of rows of ``width`` (see ``filtered_phase``), tiles of a bounded size."""
+
+    @F.pandas_udf("struct<re:array<double>,im:array<double>>")
+    def work(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        done = [filtered_phase(np.asarray(p, float).reshape(-1, width), np.asarray(q, float).reshape(-1, width), alpha, window, step).ravel() for p, q in zip(a, b, strict=True)]
+        return pd.DataFrame({"re": [z.real for z in done], "im": [z.imag for z in done]})
+
+    return images.select(*on, work(re, im).alias("z")).select(*on, "z.re", "z.im")

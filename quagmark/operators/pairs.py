@@ -69,23 +69,30 @@ def quarter_picks(pairs: DataFrame, n: int) -> DataFrame:
     return ranked.where((F.col("__m") <= n) | F.array_contains(wanted, F.col("__r").cast("int"))).drop("__q", "__k", "__r", "__m")
 
 
-def both_ends(a: DataFrame, b: DataFrame, on: list[str], t1: str, t2: str, offset: float, tolerance: float) -> DataFrame:
-    """Pairs of a with the pair of b of the same ``on`` that lies ``offset`` days (within ``tolerance``) later at both ends, one to one.
+def all_dates(a: DataFrame, b: DataFrame, on: list[str], dates: list[str], offset: float, tolerance: float, key: int) -> DataFrame:
+    """Rows of a with the row of b of the same ``on`` of which every date lies ``offset`` days (within ``tolerance``) later, one to one.
 
-    Every pair of a keeps its first partner, then every partner its first pair, in order of their ends. Ends are numbers of days. Rows of b lie
-    in buckets of twice the tolerance, so a row of a meets two buckets only.
+    Every row of a (told apart by its first ``key`` dates) keeps its first partner, then every partner its first row, in order of their
+    dates. Dates are numbers of days. Rows of b lie in buckets of twice the tolerance by their first date, so a row of a meets two buckets only.
     """
     width = 2.0 * tolerance
     bucket = lambda c: F.floor(c / width).cast("long")
     keys = [f"__k{i}" for i in range(len(on))]
-    named = lambda df, side: df.select(*(F.col(c).alias(k) for c, k in zip(on, keys, strict=True)), F.struct(*df.columns).alias(side), F.col(t1).alias(f"{side}1"), F.col(t2).alias(f"{side}2"))
-    left = named(a, "a").withColumn("__b", F.explode(F.array_distinct(F.array(bucket(F.col("a1") + offset - tolerance), bucket(F.col("a1") + offset + tolerance)))))
-    right = named(b, "b").withColumn("__b", bucket(F.col("b1")))
-    near = lambda k: F.abs(F.col(f"b{k}") - F.col(f"a{k}") - offset) <= tolerance + 1e-9
-    m = left.join(right, [*keys, "__b"]).where(near(1) & near(2))
-    first = lambda df, own, order: df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys, *own).orderBy(*order))).where("__n = 1").drop("__n")
-    once = first(first(m, ["a1", "a2"], ["b1", "b2"]), ["b1", "b2"], ["a1", "a2"])
-    return once.select(*(F.col(k).alias(c) for c, k in zip(on, keys, strict=True)), *(F.col(f"{x}{k}").alias(f"{x}_{t}") for x in "ab" for k, t in ((1, t1), (2, t2))))
+    named = lambda df, side: df.select(*(F.col(c).alias(k) for c, k in zip(on, keys, strict=True)), *(F.col(t).alias(f"{side}{n}") for n, t in enumerate(dates)))
+    left = named(a, "a").withColumn("__b", F.explode(F.array_distinct(F.array(bucket(F.col("a0") + offset - tolerance), bucket(F.col("a0") + offset + tolerance)))))
+    m = left.join(named(b, "b").withColumn("__b", bucket(F.col("b0"))), [*keys, "__b"])
+    for n in range(len(dates)):
+        m = m.where(F.abs(F.col(f"b{n}") - F.col(f"a{n}") - offset) <= tolerance + 1e-9)
+    of = lambda side, n: [f"{side}{k}" for k in range(n)]
+    for own, other in (("a", "b"), ("b", "a")):
+        order = [*of(other, len(dates)), *of(own, len(dates))]
+        m = m.withColumn("__n", F.row_number().over(Window.partitionBy(*keys, *of(own, key)).orderBy(*order))).where("__n = 1").drop("__n")
+    return m.select(*(F.col(k).alias(c) for c, k in zip(on, keys, strict=True)), *(F.col(f"{x}{n}").alias(f"{x}_{t}") for x in "ab" for n, t in enumerate(dates)))
+
+
+def both_ends(a: DataFrame, b: DataFrame, on: list[str], t1: str, t2: str, offset: float, tolerance: float) -> DataFrame:
+    """Pairs of a with the pair of b that lies ``offset`` days (within ``tolerance``) later at both ends, one to one; see ``all_dates``."""
+    return all_dates(a, b, on, [t1, t2], offset, tolerance, 2)
 
 
 def bridged_gaps(pairs: DataFrame, on: list[str], t1: str, t2: str, ok: Column) -> DataFrame:

@@ -6,6 +6,8 @@ Draws are a hash of (seed, draw, block), so any engine and any partitioning give
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable
 from itertools import permutations
 
 import pandas as pd
@@ -153,22 +155,52 @@ def empirical_p(null: DataFrame, on: list[str], value: str, observed: str) -> Da
     return null.groupBy(*on).agg(((1 + F.count_if(F.col(value) >= F.col(observed))) / (1 + F.count(value))).alias("p"), F.count(value).alias("n"))
 
 
-def nearest_matches(treated: DataFrame, control: DataFrame, rec_id: str, on: str, caliper: float, most: int = 100_000) -> DataFrame:
-    """Greedy nearest matching without replacement in order of the treated id: (treated, control, distance). Sequential by nature, hence bounded by ``most`` rows a side."""
-    t = treated.select(F.lit(0).alias("side"), F.col(rec_id).alias("id"), F.col(on).cast("double").alias("x"))
-    both = t.unionByName(control.select(F.lit(1).alias("side"), F.col(rec_id).alias("id"), F.col(on).cast("double").alias("x"))).where("x IS NOT NULL AND id IS NOT NULL")
+def nearest_matches(treated: DataFrame, control: DataFrame, rec_id: str, on: str, caliper: float, order: str | None = None, tie: str | None = None) -> DataFrame:
+    """Greedy nearest matching without replacement: (treated, control, distance).
+
+    Treated rows choose in ``order`` (else their id), then id; each takes the free control nearest in ``on`` within the caliper, of
+    equally near ones that nearest in ``tie``, then the smallest id. Rows without a number or an id take no part. Matching is sequential,
+    but where values leave a gap of more than the caliper no match can cross, so the stretches between gaps are matched apart.
+    A task holds one stretch, sorted, and finds each nearest by bisection.
+    """
+    side = lambda df, k: df.select(F.lit(k).alias("side"), F.col(rec_id).alias("id"), F.col(on).cast("double").alias("x"), (F.col(order) if order and k == 0 else F.col(rec_id)).alias("o") if k == 0 else F.lit(None).alias("o"), (F.col(tie).cast("double") if tie else F.lit(0.0)).alias("z"))
+    t = side(treated, 0)
+    both = t.unionByName(side(control, 1).withColumn("o", F.lit(None).cast(t.schema["o"].dataType))).where("x IS NOT NULL AND id IS NOT NULL AND NOT isnan(x)")
+    width = max(caliper, 1e-300)
+    # values a caliper or less apart lie in the same or in neighbouring buckets; the window has a row per occupied bucket
+    both = both.withColumn("b", F.floor(F.col("x") / width))
+    w = Window.orderBy("b")
+    buckets = both.select("b").distinct().withColumn("new", (F.col("b") - F.lag("b").over(w) > 1).cast("int")).withColumn("stretch", F.coalesce(F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
+    placed = both.join(buckets.select("b", "stretch"), "b").drop("b")
     kind = treated.schema[rec_id].dataType.simpleString()
 
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        if (pdf.side == 0).sum() > most or (pdf.side == 1).sum() > most:
-            raise ValueError(f"more than {most} rows to match")
-        free = list(pdf[pdf.side == 1].sort_values(["x", "id"])[["x", "id"]].itertuples(index=False, name=None))
+        free = sorted(pdf[pdf.side == 1][["x", "id", "z"]].itertuples(index=False, name=None))
+        xs = [f[0] for f in free]
         out = []
-        for _, i, x in pdf[pdf.side == 0].sort_values("id").itertuples(index=False, name=None):
-            best = min(range(len(free)), key=lambda k: (abs(free[k][0] - x), free[k][1]), default=None)
-            if best is not None and abs(free[best][0] - x) <= caliper:
-                y, j = free.pop(best)
-                out.append((i, j, abs(y - x)))
+        for i, x, z in pdf[pdf.side == 0].sort_values(["o", "id"])[["id", "x", "z"]].itertuples(index=False, name=None):
+            k = bisect_left(xs, x)
+            near = [abs(xs[n] - x) for n in (k - 1, k) if 0 <= n < len(xs)]
+            if not near or min(near) > caliper:
+                continue
+            best = None
+            for value in {v for n in (k - 1, k) if 0 <= n < len(xs) and abs((v := xs[n]) - x) == min(near)}:
+                for n in range(bisect_left(xs, value), bisect_right(xs, value)):
+                    key = (abs(free[n][2] - z), free[n][1], n)
+                    best = key if best is None or key < best else best
+            n = best[2]
+            out.append((i, free[n][1], abs(xs[n] - x)))
+            del free[n], xs[n]
         return pd.DataFrame(out, columns=["treated", "control", "distance"])
 
-    return both.groupBy().applyInPandas(match, f"treated {kind}, control {kind}, distance double")
+    return placed.groupBy("stretch").applyInPandas(match, f"treated {kind}, control {kind}, distance double")
+
+
+def year_bootstrap(df: DataFrame, year: str, statistic: Callable[[DataFrame], DataFrame], n_draws: int, seed: int = 0) -> DataFrame:
+    """The draws of any statistic under resampling of whole years: (draw, and what ``statistic`` gives).
+
+    ``statistic`` takes rows with the column ``draw`` and gives a row per draw (a grouped aggregate); a year drawn twice counts twice.
+    """
+    w = block_weights(df.where(F.col(year).isNotNull()), year, n_draws, seed)
+    copies = w.withColumn("__c", F.explode(F.sequence(F.lit(1), F.col("w").cast("int")))).select("draw", F.col(year).alias("__y"))
+    return statistic(copies.join(df, F.col("__y") == df[year]).drop("__y"))

@@ -97,6 +97,32 @@ def harmonic(df: DataFrame, on: list[str], years: Column, y: Column, min_n: int
     return f.select(*on, "n", F.hypot(c, s).alias("amplitude"), (F.pmod(F.atan2(s, c) / (2 * math.pi), F.lit(1.0)) * 365.25).alias("phase_doy"), F.col("b")[1].alias("trend"), "r2")
 
 
+def harmonic_covariance(df: DataFrame, on: list[str], years: Column, y: Column, min_n: int = 6) -> DataFrame:
+    """Per key the cosine and sine parts of the yearly cycle and their covariance: (n, cos, sin, cc, ss, cs), from sums of products only; null for singular or short keys."""
+    columns = annual_columns(years)
+    k = len(columns)
+    known = df.where(years.isNotNull() & y.isNotNull()).groupBy(*on).agg(*normal_sums(columns, y))
+    packed = known.select(*on, F.col("__n").alias("n"), F.array(*(F.col(f"__a{min(i, j)}_{max(i, j)}") for i in range(k) for j in range(k)), *(F.col(f"__b{i}") for i in range(k)), F.col("__yy")).alias("__v"))
+
+    @F.pandas_udf("struct<cos:double,sin:double,cc:double,ss:double,cs:double>")
+    def parts(v: pd.Series, n: pd.Series) -> pd.DataFrame:
+        out = []
+        for x, m in zip(v, n, strict=True):
+            x = np.asarray(x, float)
+            a, b, yy = x[: k * k].reshape(k, k), x[k * k : -1], x[-1]
+            scale = np.sqrt(np.maximum(np.diag(a), 1e-300))
+            if m < max(min_n, k + 1) or np.linalg.matrix_rank(a / np.outer(scale, scale), tol=1e-10) < k:
+                out.append([None] * 5)
+                continue
+            inverse = np.linalg.inv(a / np.outer(scale, scale)) / np.outer(scale, scale)
+            beta = inverse @ b
+            cov = inverse * max(yy - beta @ b, 0.0) / (m - k)
+            out.append([beta[2], beta[3], cov[2, 2], cov[3, 3], cov[2, 3]])
+        return pd.DataFrame(out, columns=["cos", "sin", "cc", "ss", "cs"], dtype=float)
+
+    return packed.select(*on, "n", parts("__v", "n").alias("p")).select(*on, "n", "p.*")
+
+
 def detrended(df: DataFrame, on: list[str], x: str, y: str, name: str) -> DataFrame:
     """``df`` with the residual of y from its line in x."""
     line = lines(df, on, x, y).select(*on, F.col("slope").alias("__s"), F.col("intercept").alias("__i"))

@@ -71,6 +71,17 @@ def value_at(queries: DataFrame, series: DataFrame, on: list[str], time: str, va
     return both.withColumn(name, v).drop("__b__v", "__b__at", "__f__v", "__f__at")
 
 
+def changes(queries: DataFrame, series: DataFrame, on: list[str], time: str, value: str, hours: list[int], name: str) -> DataFrame:
+    """``queries`` with ``<name>_at`` and, for every number of hours, ``<name>_d<hours>h``: the value then minus the value so long before, both interpolated; null where either is unknown."""
+    out = value_at(queries, series, on, time, value, None, f"{name}_at")
+    own = queries.schema[time].dataType
+    for h in hours:
+        shifted = out.withColumn("__now", F.col(time)).withColumn(time, (F.col(time).cast("timestamp") - F.expr(f"INTERVAL {h} HOURS")).cast(own))
+        before = value_at(shifted, series, on, time, value, None, "__before").drop(time).withColumnRenamed("__now", time)
+        out = before.withColumn(f"{name}_d{h}h", F.col(f"{name}_at") - F.col("__before")).drop("__before")
+    return out
+
+
 def trailing(value: Column, on: list[str], time: str, seconds: int, how=F.avg) -> Column:
     """An aggregate over (t - seconds, t]: left-open, hence one microsecond less than Spark's closed range."""
     w = Window.partitionBy(*on).orderBy(F.unix_micros(F.col(time).cast("timestamp"))).rangeBetween(-(seconds * 1_000_000 - 1), 0)

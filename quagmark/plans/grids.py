@@ -83,7 +83,8 @@ def laplacian(spark: SparkSession, d: str) -> DataFrame:
     return spatial.laplacian(grid(spark, d).where("size > 10"), "row", "col")
 
 
-@query()
+@query(f"""{_GRID}, m AS (SELECT avg(r) AS mr, avg(c) AS mc, avg(v) AS mv, covar_pop(r, r) AS rr, covar_pop(r, c) AS rc, covar_pop(c, c) AS cc, covar_pop(r, v) AS rv, covar_pop(c, v) AS cv FROM g WHERE size > 10 AND v IS NOT NULL),
+p AS (SELECT mr, mc, mv, (rv * cc - cv * rc) / (rr * cc - rc * rc) AS b, (cv * rr - rv * rc) / (rr * cc - rc * rc) AS a FROM m) SELECT r AS row, c AS col, round(v - mv - b * (r - mr) - a * (c - mc), 4) AS residual FROM g, p""")
 def plane_residuals(spark: SparkSession, d: str) -> DataFrame:
     return rounded(spatial.plane_residual(grid(spark, d), [], "row", "col", "v", F.col("size") > 10).select("row", "col", "residual"), 4)
 

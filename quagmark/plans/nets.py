@@ -30,6 +30,17 @@ def matched_ends(spark: SparkSession, d: str) -> DataFrame:
     return out.select("l_suppkey", *(F.col(c).cast("int").alias(c) for c in ("a_t1", "a_t2", "b_t1", "b_t2")))
 
 
+@query("""WITH s AS (SELECT l_suppkey, l_returnflag, l_shipdate::DATE - DATE '1970-01-01' AS t0, l_shipdate::DATE - DATE '1970-01-01' + l_linenumber AS t1, l_shipdate::DATE - DATE '1970-01-01' + l_linenumber * 3 AS t2 FROM lineitem),
+m AS (SELECT a.l_suppkey AS k, a.t0 AS a0, a.t1 AS a1, a.t2 AS a2, b.t0 AS b0, b.t1 AS b1, b.t2 AS b2 FROM s a JOIN s b ON a.l_suppkey = b.l_suppkey AND a.l_returnflag = 'N' AND b.l_returnflag = 'R' AND abs(b.t0 - a.t0 + 2) <= 3 AND abs(b.t1 - a.t1 + 2) <= 3 AND abs(b.t2 - a.t2 + 2) <= 3),
+o AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY k, a0 ORDER BY b0, b1, b2, a0, a1, a2) = 1), z AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY k, b0 ORDER BY a0, a1, a2, b0, b1, b2) = 1)
+SELECT k AS l_suppkey, CAST(a0 AS INTEGER) AS a_t0, CAST(a1 AS INTEGER) AS a_t1, CAST(a2 AS INTEGER) AS a_t2, CAST(b0 AS INTEGER) AS b_t0, CAST(b1 AS INTEGER) AS b_t1, CAST(b2 AS INTEGER) AS b_t2 FROM z""")
+def matched_triples(spark: SparkSession, d: str) -> DataFrame:
+    day = F.unix_date(F.to_date("l_shipdate"))
+    s = table(spark, d, "lineitem").select("l_suppkey", "l_returnflag", day.alias("t0"), (day + F.col("l_linenumber")).alias("t1"), (day + F.col("l_linenumber") * 3).alias("t2"))
+    out = pairs.all_dates(s.where("l_returnflag = 'N'"), s.where("l_returnflag = 'R'"), ["l_suppkey"], ["t0", "t1", "t2"], -2.0, 3.0, 1)
+    return out.select("l_suppkey", *(F.col(f"{x}_t{n}").cast("int").alias(f"{x}_t{n}") for x in "ab" for n in range(3)))
+
+
 @query(f"""{_SHIPMENTS}, e AS (SELECT l_suppkey, t1 AS t FROM s UNION SELECT l_suppkey, t2 FROM s), g AS (SELECT l_suppkey, t, lead(t) OVER (PARTITION BY l_suppkey ORDER BY t) AS n FROM e)
 SELECT l_suppkey, CAST(t AS INTEGER) AS t1, CAST(n AS INTEGER) AS t2, EXISTS (SELECT 1 FROM s WHERE s.l_suppkey = g.l_suppkey AND s.t1 <= g.t AND s.t2 >= g.n AND l_discount >= 0.08) AS bridged FROM g WHERE n IS NOT NULL""")
 def bridged_gaps(spark: SparkSession, d: str) -> DataFrame:
@@ -64,6 +75,19 @@ def wet_delays(spark: SparkSession, d: str) -> DataFrame:
     return rounded(hydro.pair_wet_delays(p, water, SERIES, "t1", "t2", "time_utc", "pwv", 16), 4)
 
 
+_AT = "CASE WHEN f.t = b.t THEN b.v WHEN f.t IS NOT NULL AND b.t IS NOT NULL THEN b.v + date_diff('microsecond', b.t, {q}) / date_diff('microsecond', b.t, f.t)::DOUBLE * (f.v - b.v) END"
+
+
+@query(f"""WITH h AS (SELECT station, plot, time_utc AS t, max(air_c) AS v FROM site_hourly WHERE NOT isnan(air_c) GROUP BY ALL), q AS (SELECT plot_acq_id, station, plot, time_utc AS t FROM plots_acq WHERE time_utc IS NOT NULL),
+x AS (SELECT plot_acq_id, station, plot, t, 0 AS back FROM q UNION ALL SELECT plot_acq_id, station, plot, t - INTERVAL 72 HOURS, 72 FROM q),
+y AS (SELECT x.plot_acq_id, back, {_AT.format(q='x.t')} AS v FROM x ASOF LEFT JOIN h b ON x.station = b.station AND x.plot = b.plot AND x.t >= b.t ASOF LEFT JOIN h f ON x.station = f.station AND x.plot = f.plot AND x.t <= f.t)
+SELECT plot_acq_id, round(any_value(v) FILTER (back = 0), 5) AS air_at, round(any_value(v) FILTER (back = 0) - any_value(v) FILTER (back = 72), 5) AS air_d72h FROM y GROUP BY 1""")
+def antecedent_changes(spark: SparkSession, d: str) -> DataFrame:
+    h = table(spark, d, "site_hourly").where("air_c IS NOT NULL").groupBy(*SERIES, "time_utc").agg(F.max("air_c").alias("air_c"))
+    q = table(spark, d, "plots_acq").where("time_utc IS NOT NULL").select("plot_acq_id", *SERIES, "time_utc")
+    return rounded(temporal.changes(q, h, SERIES, "time_utc", "air_c", [72], "air").select("plot_acq_id", "air_at", "air_d72h"), 5)
+
+
 def _by_track():
     from pyspark.sql import Window
 

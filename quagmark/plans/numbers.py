@@ -43,11 +43,27 @@ def regression_lines(spark: SparkSession, d: str) -> DataFrame:
     return g.select("l_returnflag", "n", *(F.round(c, k).alias(c) for c, k in digits.items()))
 
 
-@query()
+# the yearly cycle by partial regression: the trend is taken out of all columns first, which leaves two equations
+_YEARLY = """WITH b AS (SELECT o_orderpriority AS k, (epoch_us(CAST(o_orderdate AS TIMESTAMP)) - epoch_us(TIMESTAMP '1995-01-01')) / (365.25 * 86400 * 1e6) AS t, o_totalprice AS y FROM orders), x AS (SELECT *, cos(2 * pi() * t) AS c, sin(2 * pi() * t) AS s FROM b WHERE y IS NOT NULL),
+m AS (SELECT k, avg(t) AS mt, avg(c) AS mc, avg(s) AS ms, avg(y) AS my, regr_slope(c, t) AS bc, regr_slope(s, t) AS bs, regr_slope(y, t) AS bt FROM x GROUP BY 1),
+r AS (SELECT k, bc, bs, bt, y - my AS y0, c - mc - bc * (t - mt) AS c, s - ms - bs * (t - mt) AS s, y - my - bt * (t - mt) AS y FROM x JOIN m USING (k)),
+q AS (SELECT k, any_value(bc) AS bc, any_value(bs) AS bs, any_value(bt) AS bt, count(*) AS n, sum(c * c) AS cc, sum(c * s) AS cs, sum(s * s) AS ss, sum(c * y) AS cy, sum(s * y) AS sy, sum(y * y) AS yy, sum(y0 * y0) AS tt FROM r GROUP BY 1),
+f AS (SELECT *, cc * ss - cs * cs AS det, (cy * ss - sy * cs) / (cc * ss - cs * cs) AS a, (sy * cc - cy * cs) / (cc * ss - cs * cs) AS b FROM q)"""
+
+
+def _years():
+    return scalar.years_since(F.col("o_orderdate"), F.lit("1995-01-01").cast("timestamp"))
+
+
+@query(f"""{_YEARLY} SELECT k AS o_orderpriority, n, round(sqrt(a * a + b * b), 3) AS amplitude, round((atan2(b, a) / (2 * pi()) + CASE WHEN atan2(b, a) < 0 THEN 1 ELSE 0 END) * 365.25, 3) AS phase_doy, round(bt - a * bc - b * bs, 3) AS trend, round(1 - (yy - a * cy - b * sy) / tt, 3) AS r2 FROM f""")
 def annual_harmonic(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders")
-    h = stats.harmonic(o, ["o_orderpriority"], scalar.years_since(F.col("o_orderdate"), F.lit("1995-01-01").cast("timestamp")), F.col("o_totalprice"))
-    return rounded(h, 3)
+    return rounded(stats.harmonic(table(spark, d, "orders"), ["o_orderpriority"], _years(), F.col("o_totalprice")), 3)
+
+
+@query(f"""{_YEARLY}, v AS (SELECT *, (yy - a * cy - b * sy) / (n - 4) / det AS u FROM f) SELECT k AS o_orderpriority, n, round(a, 3) AS cos, round(b, 3) AS sin, round(u * ss, 0) AS cc, round(u * cc, 0) AS ss, round(-u * cs, 0) AS cs FROM v""")
+def harmonic_parts(spark: SparkSession, d: str) -> DataFrame:
+    h = stats.harmonic_covariance(table(spark, d, "orders"), ["o_orderpriority"], _years(), F.col("o_totalprice"))
+    return h.select("o_orderpriority", "n", F.round("cos", 3).alias("cos"), F.round("sin", 3).alias("sin"), *(F.round(c, 0).alias(c) for c in ("cc", "ss", "cs")))
 
 
 @query(f"{_MONTHLY}, t AS (SELECT *, CAST(m - DATE '1995-01-01' AS DOUBLE) AS t FROM mo), k AS (SELECT regr_slope(q, t) AS s, regr_intercept(q, t) AS i FROM t) SELECT m, round(q - i - s * t, 4) AS residual FROM t, k")
@@ -208,7 +224,7 @@ def exact_spearman(spark: SparkSession, d: str) -> DataFrame:
 def greedy_matches(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "supplier")
     odd = F.col("s_suppkey") % 2 == 1
-    return rounded(resample.nearest_matches(s.where(odd), s.where(~odd), "s_suppkey", "s_acctbal", 100.0))
+    return rounded(resample.nearest_matches(s.where(odd), s.where(~odd), "s_suppkey", "s_acctbal", 100.0, "s_nationkey", "s_nationkey"))
 
 
 _PHASE = "2 * pi() * (l_extendedprice / 1000 - floor(l_extendedprice / 1000))"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import zipfile
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -40,13 +41,12 @@ def test_sheet_index(spark):
 
 
 def test_raster_sources(spark, tmp_path):
-    readers.register(spark)
     (tmp_path / "g.asc").write_text("ncols 2\nnrows 2\nxllcorner 0\nyllcorner 0\ncellsize 1\nNODATA_value -9999\n1 2\n-9999 4\n")
-    got = {(r.row, r.col): r.value for r in spark.read.format("ascii_grid").option("path", str(tmp_path)).load().collect()}
+    got = {(r.row, r.col): r.value for r in readers.ascii_grids(spark, str(tmp_path)).collect()}
     assert got == {(0, 0): 1.0, (0, 1): 2.0, (1, 0): None, (1, 1): 4.0}
     np.array([[1, 2, 3], [4, 5, 6]], "<f4").tofile(tmp_path / "d.ztd")
     (tmp_path / "d.ztd.rsc").write_text("WIDTH 3\nFILE_LENGTH 2\n")
-    got = {(r.row, r.col): r.value for r in spark.read.format("raw_float").option("path", str(tmp_path)).load().collect()}
+    got = {(r.row, r.col): r.value for r in readers.raw_floats(spark, str(tmp_path)).collect()}
     assert len(got) == 6 and got[(1, 2)] == 6.0
 
 
@@ -59,7 +59,46 @@ def test_logger_and_stores(spark, tmp_path):
     (tmp_path / "pairs" / "one").mkdir(parents=True)
     (tmp_path / "pairs" / "one" / "ok").touch()
     (tmp_path / "pairs" / "two").mkdir()
-    assert readers.complete_folders(str(tmp_path / "pairs")) == ["one"]
+    assert readers.complete_folders(spark, str(tmp_path / "pairs")) == ["one"]
+
+
+def test_numpy_archives(spark, tmp_path):
+    np.savez(tmp_path / "scene.npz", ndvi=np.array([[0.5, np.nan]]), ok=np.array([[True], [False]]), name=np.array("x"))
+    got = {(r.name, r.row, r.col): r.value for r in readers.scene_arrays(spark, str(tmp_path)).collect()}
+    assert got == {("ndvi", 0, 0): 0.5, ("ndvi", 0, 1): None, ("ok", 0, 0): 1.0, ("ok", 1, 0): 0.0}
+
+
+def test_workbook_cells_and_their_colours(spark, tmp_path):
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    link = 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    with zipfile.ZipFile(tmp_path / "b.xlsx", "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {ns} {link}><sheets><sheet name="S" sheetId="1" r:id="q"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="q" Target="worksheets/one.xml"/></Relationships>')
+        z.writestr("xl/sharedStrings.xml", f"<sst {ns}><si><t>depth</t></si><si><r><t>a</t></r><r><t>b</t></r></si></sst>")
+        z.writestr("xl/styles.xml", f'<styleSheet {ns}><fills><fill><patternFill patternType="none"/></fill><fill><patternFill patternType="solid"><fgColor rgb="FF00AA11"/></patternFill></fill></fills><cellXfs><xf fillId="0"/><xf fillId="1"/></cellXfs></styleSheet>')
+        z.writestr("xl/worksheets/one.xml", f'<worksheet {ns}><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="AB1" t="inlineStr"><is><t>flag</t></is></c></row><row r="2"><c r="A2"><v>3.5</v></c><c r="AB2" t="s" s="1"><v>1</v></c></row><row r="3"><c r="A3" s="1"/></row></sheetData></worksheet>')
+    cells = readers.workbook_cells(spark, str(tmp_path))
+    assert {(r.row, r.col, r.value, r.fill) for r in cells.collect()} == {(1, 1, "depth", None), (1, 28, "flag", None), (2, 1, "3.5", None), (2, 28, "ab", "FF00AA11"), (3, 1, None, "FF00AA11")}
+    assert {(r.row, r.column) for r in readers.flagged_cells(cells, "FF00AA11").collect()} == {(0, "flag"), (1, "depth")}
+
+
+def test_motion_points_and_catalogue_items(spark, tmp_path):
+    (tmp_path / "m.csv").write_text("pid,latitude,longitude,20200103,20200109\nA,52.1,17.2,1.5,\nB,52.2,17.3,0,-2.5\n")
+    got = {(r.pid, str(r.date)): r.mm for r in readers.motion_points(spark, str(tmp_path / "m.csv")).collect()}
+    assert got == {("A", "2020-01-03"): 1.5, ("A", "2020-01-09"): None, ("B", "2020-01-03"): 0.0, ("B", "2020-01-09"): -2.5}
+    text = '{"features": [{"id": "s1", "bbox": [1, 2, 3, 4], "properties": {"datetime": "2024-05-01T10:00:00Z", "eo:cloud_cover": 12.5}, "assets": {"red": {"href": "r.tif", "raster:bands": [{"scale": 0.5, "offset": -0.25}]}, "map": {"href": "m.tif"}}}]}'
+    items = {r.asset: r for r in readers.catalogue_items(spark.createDataFrame([(text,), (None,)], "t string"), "t").collect()}
+    assert (items["red"].scale, items["red"].offset, items["map"].scale, items["map"].offset) == (0.5, -0.25, 1.0, 0.0) and items["map"].bbox == [1, 2, 3, 4] and items["red"].datetime == datetime(2024, 5, 1, 10)
+
+
+def test_json_has_no_nan(spark):
+    df = spark.createDataFrame([(1, float("nan"), [1.0, float("inf")], T0.date())], "i int, x double, v array<double>, d date")
+    assert readers.json_lines(df).first().json == '{"i":1,"x":null,"v":[1.0,null],"d":"%s"}' % T0.date().isoformat()
+
+
+def test_manifest(spark, tmp_path):
+    readers.manifest(spark, f"{tmp_path}/run/m.json", rows=3, name="ż")
+    assert json.loads((tmp_path / "run" / "m.json").read_text()) == {"rows": 3, "name": "ż"}
 
 
 def drain(q):

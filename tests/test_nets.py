@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quagmark.operators import hydro, kernels, pairs, resample, spatial, stats, temporal
+from quagmark.operators import contracts, hydro, kernels, pairs, resample, spatial, stats, temporal
 from quagmark.streaming import live
 
 
@@ -194,3 +194,109 @@ def test_taking_in_twice_changes_nothing_and_faults_are_not_hidden(spark, tmp_pa
     (tmp_path / "bad" / "part-0.parquet").write_bytes(b"no parquet")
     with pytest.raises(Exception):
         live.take_in(stream(), f"{tmp_path}/bad", "id", f"{tmp_path}/state-r").awaitTermination()
+
+
+def test_all_dates(spark):
+    a = [("k", 0.0, 6.0, 12.0), ("k", 6.0, 12.0, 18.0), ("k", 100.0, 106.0, 112.0)]
+    b = [("k", 1.6, 7.4, 13.5), ("k", 1.4, 7.5, 15.0), ("k", 7.6, 13.4, 19.4), ("k", 101.5, 108.5, 113.5)]
+    f = lambda rows: frame(spark, rows, "k string, x double, y double, z double")
+    got = {(r.a_x, r.b_x) for r in pairs.all_dates(f(a), f(b), ["k"], ["x", "y", "z"], 1.5, 0.6, 1).collect()}
+    assert got == {(0.0, 1.6), (6.0, 7.6)}
+
+
+def test_greedy_matching_against_the_plain_rule(spark):
+    rng = random.Random(6)
+    t = [(i, rng.choice([rng.uniform(0, 50), rng.uniform(80, 90), round(rng.uniform(0, 50))]), rng.randrange(5), rng.randrange(3)) for i in range(60)]
+    c = [(i, rng.choice([rng.uniform(0, 50), rng.uniform(80, 90), round(rng.uniform(0, 50))]), 0, rng.randrange(3)) for i in range(60)] + [(99, None, 0, 1)]
+    c = [(i, float(x) if x is not None else None, o, z) for i, x, o, z in c]
+    t = [(i, float(x), o, z) for i, x, o, z in t]
+    free, want = {x[0]: x for x in c if x[1] is not None}, set()
+    for i, x, _, z in sorted(t, key=lambda r: (r[2], r[0])):
+        near = [(abs(v - x), abs(q - z), j) for j, v, _, q in free.values() if abs(v - x) <= 1.5]
+        if near:
+            want.add((i, min(near)[2]))
+            del free[min(near)[2]]
+    names = "id int, x double, o int, z int"
+    got = {(r.treated, r.control) for r in resample.nearest_matches(frame(spark, t, names), frame(spark, c, names), "id", "x", 1.5, "o", "z").collect()}
+    assert got == want
+
+
+def test_year_bootstrap(spark):
+    df = frame(spark, [(y, float(y % 7 + k)) for y in range(2000, 2020) for k in range(3)], "y int, v double")
+    out = resample.year_bootstrap(df, "y", lambda d: d.groupBy("draw").agg(F.avg("v").alias("m"), F.count("*").alias("n")), 40, 2).collect()
+    assert len(out) == 40 and {r.n for r in out} == {60} and 0.1 < np.std([r.m for r in out]) < 0.9
+
+
+def test_changes(spark):
+    s = frame(spark, [("a", h * 3600, float(h)) for h in range(0, 200, 2)], "k string, t long, v double").withColumn("t", F.col("t").cast("timestamp"))
+    q = frame(spark, [("a", 101 * 3600), ("a", 10 * 3600)], "k string, t long").withColumn("t", F.col("t").cast("timestamp"))
+    out = sorted((r.x_at, r.x_d72h, r.x_d3h) for r in temporal.changes(q, s, ["k"], "t", "v", [72, 3], "x").select("x_at", F.coalesce("x_d72h", F.lit(-1.0)).alias("x_d72h"), "x_d3h").collect())
+    assert out == [(10.0, -1.0, 3.0), (101.0, 72.0, 3.0)]
+
+
+def test_joined_once(spark):
+    a, b = frame(spark, [(1, "a"), (2, "b")], "k int, x string"), frame(spark, [(1, "c"), (3, "d")], "k int, y string")
+    assert [tuple(r) for r in contracts.joined_once(a, b, ["k"]).collect()] == [(1, "a", "c")] and contracts.joined_once(a, b, ["k"], "full_outer").count() == 3
+    with pytest.raises(Exception, match="twice"):
+        contracts.joined_once(a, b.unionByName(b), ["k"], "left").collect()
+
+
+def test_harmonic_covariance(spark):
+    rng = np.random.default_rng(1)
+    t = np.sort(rng.uniform(0, 5, 400))
+    x = np.column_stack([np.ones(400), t, np.cos(2 * np.pi * t), np.sin(2 * np.pi * t)])
+    y = x @ [1, 0.5, 3, -2] + rng.normal(0, 0.7, 400)
+    r = stats.harmonic_covariance(frame(spark, [(float(a), float(b)) for a, b in zip(t, y, strict=True)], "t double, y double"), [], F.col("t"), F.col("y")).first()
+    beta, rss = np.linalg.lstsq(x, y, rcond=None)[:2]
+    cov = np.linalg.inv(x.T @ x) * rss[0] / 396
+    assert [r.cos, r.sin, r.cc, r.ss, r.cs] == pytest.approx([beta[2], beta[3], cov[2, 2], cov[3, 3], cov[2, 3]], rel=1e-6)
+
+
+def test_space_time_smoother_against_the_dense_system(spark):
+    rng = np.random.default_rng(3)
+    cells, t = [(0, 0), (0, 1), (1, 0), (5, 5)], np.arange(0, 60, 6)
+    rows = [("s", r, c, int(t[i]), int(t[i + 1 + k]), 0.8, float(rng.normal()), 0.5) for r, c in cells for k in (0, 1) for i in range(len(t) - 1 - k)]
+    df = frame(spark, rows, "site string, r int, c int, t1 int, t2 int, f double, y double, sd double")
+    got = {(x.r, x.c, x.t): x.mean for x in kernels.space_time_smooth(df, ["site"], "r", "c", "t1", "t2", "f", "y", "sd", 20.0, 2.0, 0.7).collect()}
+    q = np.linalg.inv(4 * np.exp(-np.abs(t[:, None] - t) / 20))
+    lap = np.array([[2, -1, -1, 0], [-1, 1, 0, 0], [-1, 0, 1, 0], [0, 0, 0, 0]])
+    p, b = np.kron(np.eye(4) + 0.7 * lap, q), np.zeros(4 * len(t))
+    for _, r, c, a, z, f, y, sd in rows:
+        d = np.zeros(4 * len(t))
+        k = cells.index((r, c)) * len(t)
+        d[k + z // 6], d[k + a // 6] = f, -f
+        p += np.outer(d, d) / sd**2
+        b += d * y / sd**2
+    want = np.linalg.solve(p, b).reshape(4, -1)
+    assert all(got[r, c, int(x)] == pytest.approx(want[k, n], abs=1e-6) for k, (r, c) in enumerate(cells) for n, x in enumerate(t))
+    smooth = kernels.increment_smooth(df.withColumn("p", F.lit(1.0)), ["site", "r", "c"], "t1", "t2", "y", "sd", "p", 20.0, 2.0, 14.0)
+    plain = kernels.ou_smooth(df, ["site", "r", "c"], "t1", "t2", "y", "sd", 20.0, 2.0)
+    assert smooth.exceptAll(plain).count() == 0
+    wide = kernels.increment_smooth(df.withColumn("p", F.lit(None).cast("double")), ["site", "r", "c"], "t1", "t2", "y", "sd", "p", 20.0, 2.0, 14.0)
+    assert wide.agg(F.avg("sd")).first()[0] > 1.2 * plain.agg(F.avg("sd")).first()[0]
+
+
+def test_transfer_of_a_trait(spark):
+    rng = np.random.default_rng(7)
+    x = rng.uniform(-2, 2, (80, 2))
+    f = lambda v: np.sin(v[:, 0]) + 0.5 * v[:, 1]
+    train = frame(spark, [([float(a) for a in v], float(w)) for v, w in zip(x, f(x) + rng.normal(0, 0.05, 80), strict=True)] + [(None, 1.0)], "v array<double>, y double")
+    new = rng.uniform(-1.5, 1.5, (200, 2))
+    out, skill = kernels.gp_transfer(frame(spark, [(i, [float(a) for a in v]) for i, v in enumerate(new)] + [(999, None)], "id int, v array<double>"), "id", "v", train, "v", "y")
+    got = out.orderBy("id").toPandas()
+    assert len(got) == 200 and np.sqrt(np.mean((got["mean"] - f(new)) ** 2)) < 0.1 and skill["skill"] > 0.95 and (got.sd > 0).all()
+    with pytest.raises(ValueError):
+        kernels.gp_transfer(out, "id", "mean", train, "v", "y", most=10)
+
+
+def test_phase_filter_quiets_noise_and_keeps_holes(spark):
+    rng = np.random.default_rng(2)
+    r, c = np.indices((40, 50))
+    ramp = 0.3 * c + 0.1 * r
+    noisy = np.exp(1j * (ramp + rng.normal(0, 0.8, ramp.shape)))
+    noisy[3, 4] = np.nan
+    df = frame(spark, [("a", [float(v) for v in noisy.real.ravel()], [float(v) for v in noisy.imag.ravel()])], "k string, p array<double>, q array<double>")
+    z = kernels.phase_filter(df, ["k"], "p", "q", 50, 0.8).first()
+    out = (np.array(z.re, float) + 1j * np.array(z.im, float)).reshape(40, 50)
+    off = lambda v: np.nanstd(np.angle(v * np.exp(-1j * ramp)))
+    assert np.isnan(out[3, 4]) and np.isfinite(out).sum() == 1999 and off(out) < 0.6 * off(noisy)
