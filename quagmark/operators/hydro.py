@@ -55,19 +55,30 @@ def rain_class(percent: Column) -> Column:
 
 
 def recursion(df: DataFrame, on: list[str], day: str, value: str, decay: float, gain: float, name: str, skip_first: bool = False) -> DataFrame:
-    """``df`` with a_i = decay * a_(i-1) + gain * x_i over each key's days in order (null counts as 0).
+    """``df`` with a_i = decay * a_(i-1) + gain * x_i over each key's days in order (null counts as 0); 0 < decay <= 1.
 
-    As a_i = gain * sum of decay^(i-j) x_j, and terms older than the horizon at which decay^h < 1e-17 do not show in a double, the
-    recursion is a sum over that many preceding rows: a framed window, no loop.
+    Days are cut into blocks. Inside a block a_i is a running sum of x_j / decay^j, scaled back (a block is short enough for the
+    powers); a block's end is carried to later blocks by a window over one row per block, as far as it shows in a double.
     """
+    if not 0 < decay <= 1:
+        raise ValueError("decay must be above 0 and at most 1")
+    size = 4096 if decay == 1 else max(1, min(4096, int(230 / -math.log(decay))))
     w = Window.partitionBy(*on).orderBy(day)
-    horizon = max(1, math.ceil(math.log(1e-17) / math.log(decay)))
-    i = F.row_number().over(w)
     x = F.coalesce(F.col(value), F.lit(0.0))
-    d = df.withColumn("__i", i).withColumn("__x", F.when(F.lit(skip_first) & (F.col("__i") == 1), 0.0).otherwise(x))
-    terms = F.collect_list("__x").over(w.rowsBetween(-horizon, 0))
-    total = F.aggregate(terms, F.lit(0.0), lambda a, v: a * decay + v)
-    return d.withColumn(name, gain * total).drop("__i", "__x")
+    d = df.withColumn("__i", F.row_number().over(w) - 1)
+    d = d.withColumns({"__b": F.expr(f"__i div {size}"), "__r": F.col("__i") % size, "__x": F.when(F.lit(skip_first) & (F.col("__i") == 0), 0.0).otherwise(x)})
+    power = lambda k: F.pow(F.lit(float(decay)), k)
+    inside = F.sum(F.col("__x") * power(-F.col("__r"))).over(Window.partitionBy(*on, "__b").orderBy("__r").rowsBetween(Window.unboundedPreceding, 0))
+    d = d.withColumn("__own", power(F.col("__r")) * inside)
+    ends = d.groupBy(*on, "__b").agg(F.max_by("__own", "__r").alias("__e"))
+    earlier = Window.partitionBy(*on).orderBy("__b")
+    if decay == 1:
+        carry = F.coalesce(F.sum("__e").over(earlier.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    else:
+        blocks = max(1, math.ceil(math.log(1e-17) / (size * math.log(decay))))
+        carry = F.aggregate(F.collect_list("__e").over(earlier.rowsBetween(-blocks, -1)), F.lit(0.0), lambda a, v: a * decay**size + v)
+    out = d.join(ends.select(*on, "__b", carry.alias("__c")), [*on, "__b"])
+    return out.withColumn(name, gain * (F.col("__own") + power(F.col("__r") + 1) * F.col("__c"))).drop("__i", "__b", "__r", "__x", "__own", "__c")
 
 
 def antecedent_precipitation(df: DataFrame, on: list[str], day: str, rain: str, k: float = 0.9) -> DataFrame:

@@ -10,6 +10,7 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Callable
 from itertools import permutations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,17 +19,30 @@ from quagmark.operators.stats import corr
 
 
 def shift_null(df: DataFrame, on: list[str], order: str, x: str, y: str, min_shift: int = 3) -> DataFrame:
-    """Per key r, and the share of all circular shifts whose r is at least as large: (n, r, shifts, p)."""
-    w = Window.partitionBy(*on)
-    d = df.dropna(subset=[x, y]).select(*on, (F.row_number().over(w.orderBy(order)) - 1).alias("__i"), F.col(x).alias("__x"), F.col(y).alias("__y"), F.count("*").over(w).alias("__n"))
-    a = d.withColumn("__k", F.explode(F.sequence(F.lit(0), (F.col("__n") - 1).cast("int")))).withColumn("__j", F.pmod(F.col("__i") + F.col("__k"), F.col("__n")).cast("int"))
-    b = d.select(*on, F.col("__i").alias("__j"), F.col("__y").alias("__z"))
-    r = a.drop("__y").join(b, [*on, "__j"]).groupBy(*on, "__k").agg(corr("__x", "__z").alias("__r"), F.first("__n").alias("__n"))
-    used = (F.col("__k") == 0) | ((F.col("__k") >= min_shift) & (F.col("__k") <= F.col("__n") - min_shift))
-    own = F.max(F.when(F.col("__k") == 0, F.abs("__r"))).over(Window.partitionBy(*on))
-    r = r.where(used).withColumn("__own", own)
-    g = r.groupBy(*on).agg(F.first("__n").cast("long").alias("n"), F.max(F.when(F.col("__k") == 0, F.col("__r"))).alias("r"), F.count_if(F.col("__k") > 0).alias("shifts"), F.count_if((F.col("__k") > 0) & (F.abs("__r") >= F.col("__own") - 1e-12)).alias("__hits"))
-    return g.select(*on, "n", "r", "shifts", ((F.col("__hits") + 1) / (F.col("shifts") + 1)).alias("p"))
+    """Per key r, and the share of all circular shifts whose r is at least as large: (n, r, shifts, p).
+
+    All shifts' products come from one Fourier transform of a key's series (n log n, where pairs of rows would be n squared); a task holds one series.
+    """
+    known = df.dropna(subset=[x, y]).select(*on, F.struct(F.col(order).alias("o"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).alias("s"))
+    series = known.groupBy(*on).agg(F.array_sort(F.collect_list("s")).alias("s")).select(*on, F.transform("s", lambda e: e["x"]).alias("__x"), F.transform("s", lambda e: e["y"]).alias("__y"))
+
+    @F.pandas_udf("struct<n:long,r:double,shifts:long,p:double>")
+    def shifted(xs: pd.Series, ys: pd.Series) -> pd.DataFrame:
+        out = []
+        for a, b in zip(xs, ys, strict=True):
+            a, b = np.asarray(a, float), np.asarray(b, float)
+            n = len(a)
+            a, b = a - a.mean(), b - b.mean()
+            spread = np.sqrt((a * a).sum() * (b * b).sum())
+            if not spread > 0:
+                out.append((n, None, max(0, n - 2 * min_shift + 1), None))
+                continue
+            r = np.fft.irfft(np.conj(np.fft.rfft(a)) * np.fft.rfft(b), n) / spread if n > 1 else np.array([1.0])
+            others = np.abs(r[min_shift : n - min_shift + 1])
+            out.append((n, r[0], len(others), ((others >= abs(r[0]) - 1e-12).sum() + 1) / (len(others) + 1)))
+        return pd.DataFrame(out, columns=["n", "r", "shifts", "p"]).astype({"r": float, "p": float})
+
+    return series.where(F.size("__x") > 0).select(*on, shifted("__x", "__y").alias("t")).select(*on, "t.*")
 
 
 def all_permutations(spark: SparkSession, n: int) -> DataFrame:

@@ -300,3 +300,19 @@ def test_phase_filter_quiets_noise_and_keeps_holes(spark):
     out = (np.array(z.re, float) + 1j * np.array(z.im, float)).reshape(40, 50)
     off = lambda v: np.nanstd(np.angle(v * np.exp(-1j * ramp)))
     assert np.isnan(out[3, 4]) and np.isfinite(out).sum() == 1999 and off(out) < 0.6 * off(noisy)
+
+
+def test_recursion_in_blocks(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=9000)
+    df = frame(spark, [("a", i, float(v)) for i, v in enumerate(x)] + [("b", 0, 2.0), ("b", 5, None)], "k string, d int, x double")
+    for decay in (1.0, 0.9995, 0.5):
+        a, want = 0.0, []
+        for v in x:
+            a = decay * a + 2 * v
+            want.append(a)
+        out = hydro.recursion(df, ["k"], "d", "x", decay, 2.0, "m").orderBy("k", "d").toPandas()
+        np.testing.assert_allclose(out[out.k == "a"].m, want, rtol=1e-9, atol=1e-9)
+        assert out[out.k == "b"].m.tolist() == [4.0, 4.0 * decay]
+    with pytest.raises(ValueError):
+        hydro.recursion(df, ["k"], "d", "x", 1.5, 1.0, "m")
