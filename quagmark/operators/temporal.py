@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HOUR_US = 3_600_000_000
+#: Seconds that a window of an as-of join without a tolerance spans.
+BLOCK_S = 8 * 86_400
 
 
 def asof(left: DataFrame, right: DataFrame, on: list[str], time: str, columns: list[str], tolerance_s: int | None = None, direction: str = "nearest", order: str | None = None, prefix: str = "") -> DataFrame:
@@ -13,29 +15,36 @@ def asof(left: DataFrame, right: DataFrame, on: list[str], time: str, columns: l
 
     Outside the tolerance (inclusive) all is null. On equal distance the earlier row counts; of rows at the same time the last by ``order``
     looking back, the first looking ahead. With a tolerance the right rows are laid into the three time buckets from which they
-    can be reached, so that no task holds more of a key than three tolerances' worth and no pairs are made; without one, a key's rows share
-    a window. Rows of ``right`` with a null key or time match nothing.
+    can be reached, so that no task holds more of a key than three tolerances' worth and no pairs are made; without one, rows share a
+    window per bucket of ``BLOCK_S``, and what comes before and after a bucket is carried to it over one row per bucket. Rows of ``right`` with a null key or time match nothing.
     """
-    back, ahead = F.struct("__t", *(F.col(f"__r_{c}") for c in columns)), None
     us = F.unix_micros(F.col(time).cast("timestamp"))
     keys = [f"__k{i}" for i in range(len(on))]
     key_cols = [F.col(c).alias(k) for c, k in zip(on, keys, strict=True)]
     r = right.select(*key_cols, us.alias("__t"), (F.col(order) if order else F.lit(0)).alias("__o"), *(F.col(c).alias(f"__r_{c}") for c in columns)).dropna(subset=[*keys, "__t"])
     own = left.select(F.struct(*left.columns).alias("__left"), *key_cols, us.alias("__t"))
-    if tolerance_s is None:
-        r, own = r.withColumn("__b", F.lit(0)), own.withColumn("__b", F.lit(0))
-    else:
-        width = max(1, tolerance_s * 1_000_000)
-        bucket = F.expr(f"(__t - pmod(__t, {width}L)) div {width}L")
-        r = r.withColumn("__b", F.explode(F.array(bucket - 1, bucket, bucket + 1)))
-        own = own.withColumn("__b", bucket)
+    width = BLOCK_S * 1_000_000 if tolerance_s is None else max(1, tolerance_s * 1_000_000)
+    bucket = F.expr(f"(__t - pmod(__t, {width}L)) div {width}L")
+    own = own.withColumn("__b", bucket)
+    r = r.withColumn("__b", bucket if tolerance_s is None else F.explode(F.array(bucket - 1, bucket, bucket + 1)))
     union = own.withColumn("__side", F.lit(1)).unionByName(r.withColumn("__side", F.lit(0)), allowMissingColumns=True)
     w = Window.partitionBy(*keys, "__b")
     is_right = F.col("__side") == 0
-    back = F.last(F.when(is_right, back), ignorenulls=True).over(w.orderBy("__t", "__side", "__o").rowsBetween(Window.unboundedPreceding, 0))
     source = F.struct("__t", *(F.col(f"__r_{c}") for c in columns))
+    back = F.last(F.when(is_right, source), ignorenulls=True).over(w.orderBy("__t", "__side", "__o").rowsBetween(Window.unboundedPreceding, 0))
     ahead = F.first(F.when(is_right, source), ignorenulls=True).over(w.orderBy("__t", F.desc("__side"), "__o").rowsBetween(1, Window.unboundedFollowing))
-    union = union.withColumns({"__back": back, "__ahead": ahead}).where("__side = 1")
+    found = union.withColumns({"__back": back, "__ahead": ahead}).where("__side = 1")
+    if tolerance_s is None:
+        at = F.when(is_right, F.struct("__t", "__o"))
+        ends = union.groupBy(*keys, "__b").agg(F.max_by(source, at).alias("__last"), F.min_by(source, at).alias("__first"))
+        over = Window.partitionBy(*keys).orderBy("__b")
+        ends = ends.select(
+            *(F.col(k).alias(f"__e{i}") for i, k in enumerate([*keys, "__b"])),
+            F.last("__last", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("__earlier"), F.first("__first", ignorenulls=True).over(over.rowsBetween(1, Window.unboundedFollowing)).alias("__later"),
+        )
+        same = [found[k].eqNullSafe(ends[f"__e{i}"]) for i, k in enumerate([*keys, "__b"])]
+        found = found.join(ends, same, "left").withColumns({"__back": F.coalesce("__back", "__earlier"), "__ahead": F.coalesce("__ahead", "__later")})
+    union = found
     to_back, to_ahead = F.col("__t") - F.col("__back.__t"), F.col("__ahead.__t") - F.col("__t")
     if direction == "backward":
         chosen = F.col("__back")

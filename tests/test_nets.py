@@ -316,3 +316,21 @@ def test_recursion_in_blocks(spark):
         assert out[out.k == "b"].m.tolist() == [4.0, 4.0 * decay]
     with pytest.raises(ValueError):
         hydro.recursion(df, ["k"], "d", "x", 1.5, 1.0, "m")
+
+
+def test_asof_without_a_tolerance_looks_across_blocks(spark):
+    rng = random.Random(2)
+    day = 86_400
+    right = [(rng.choice("ab"), rng.randrange(0, 90) * day, i) for i in range(25)]
+    left = [(rng.choice(["a", "b", None]), rng.randrange(-5, 100) * day + rng.randrange(day), i) for i in range(60)] + [("a", None, 99), ("c", 5, 98)]
+    at = lambda df: df.withColumn("t", F.col("t").cast("timestamp"))
+    ldf, rdf = at(frame(spark, left, "k string, t long, i int")), at(frame(spark, right, "k string, t long, v int"))
+    for direction in ("backward", "forward", "nearest"):
+        got = {r.i: r.v for r in temporal.asof(ldf, rdf, ["k"], "t", ["v"], None, direction, "v").collect()}
+        assert len(got) == len(left)
+        for k, t, i in left:
+            own = [(u, v) for q, u, v in right if q == k and t is not None]
+            before = max(((u, v) for u, v in own if u <= t), default=None) if direction != "forward" else None
+            after = min(((u, v) for u, v in own if u >= t), default=None) if direction != "backward" else None
+            both = [(abs(x[0] - t), n, x[1]) for n, x in enumerate((before, after)) if x]
+            assert got[i] == (min(both)[2] if both else None), (direction, k, t)
