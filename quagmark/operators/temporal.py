@@ -16,7 +16,7 @@ def asof(left: DataFrame, right: DataFrame, on: list[str], time: str, columns: l
     Outside the tolerance (inclusive) all is null. On equal distance the earlier row counts; of rows at the same time the last by ``order``
     looking back, the first looking ahead. With a tolerance the right rows are laid into the three time buckets from which they
     can be reached, so that no task holds more of a key than three tolerances' worth and no pairs are made; without one, rows share a
-    window per bucket of ``BLOCK_S``, and what comes before and after a bucket is carried to it over one row per bucket. Rows of ``right`` with a null key or time match nothing.
+    window per bucket of ``BLOCK_S``, and what comes before and after a bucket is carried to it over one row per bucket. Rows of either side with a null key or time match nothing.
     """
     us = F.unix_micros(F.col(time).cast("timestamp"))
     keys = [f"__k{i}" for i in range(len(on))]
@@ -52,7 +52,7 @@ def asof(left: DataFrame, right: DataFrame, on: list[str], time: str, columns: l
         chosen = F.col("__ahead")
     else:
         chosen = F.when(F.col("__ahead").isNull() | (to_back <= to_ahead), F.col("__back")).otherwise(F.col("__ahead"))
-    union = union.withColumn("__c", chosen)
+    union = union.withColumn("__c", F.when(F.col("__t").isNotNull(), chosen))
     if tolerance_s is not None:
         union = union.withColumn("__c", F.when(F.abs(F.col("__c.__t") - F.col("__t")) <= tolerance_s * 1_000_000, F.col("__c")))
     return union.select("__left.*", *(F.col(f"__c.__r_{c}").alias(prefix + c) for c in columns), ((F.col("__c.__t") - F.col("__t")) / HOUR_US).alias(prefix + "lag_h"))
