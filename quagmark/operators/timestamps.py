@@ -364,9 +364,16 @@ def _reader(least_margin: float) -> Callable[[Iterator[pd.DataFrame]], Iterator[
                     out += flush()
                     key, before = (source, block), None
                 options = interpretations(text if isinstance(text, str) else None, zone if isinstance(zone, str) else None, place if isinstance(place, str) else None, order if isinstance(order, str) else None, None if pd.isna(day) else int(day))
-                held.append((tab, rec, options))
-                if len(options) == 1:
-                    out += flush()
+                if held or len(options) > 1:
+                    held.append((tab, rec, options))
+                    if len(options) == 1:
+                        out += flush()
+                elif options:  # nothing to choose
+                    us, name, allowed = options[0]
+                    before = (us, name)
+                    out.append((tab, rec, us if allowed else None, name, int(allowed), allowed))
+                else:
+                    out.append((tab, rec, None, None, 0, False))
             if out:
                 yield _frame(out)
         if held:
