@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
-from functools import lru_cache, reduce
-from operator import add
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -166,9 +165,10 @@ def in_parts(groups: DataFrame, on: list[str], value: str) -> DataFrame:
     """
     groups = checkpointed(groups)
     cuts = checkpointed(groups.groupBy(*on).agg(F.percentile_approx(F.col(value).cast("double"), [k / PARTS for k in range(1, PARTS)], ACCURACY).alias("__cuts")))
-    # written out term by term, which is compiled where a function over the array would not be
-    above = [F.coalesce((F.get("__cuts", F.lit(k)) <= F.col(value).cast("double")).cast("int"), F.lit(0)) for k in range(PARTS - 1)]
-    return joined(groups, cuts, on).withColumn("__part", reduce(add, above)).drop("__cuts")
+    # how many cuts are at or below the value, by bisection: five looks at the array
+    v, halves = F.col(value).cast("double"), F.array(*(F.lit(k) for k in (16, 8, 4, 2, 1)))
+    part = F.aggregate(halves, F.lit(0), lambda p, step: F.when(F.get("__cuts", p + step - 1) <= v, p + step).otherwise(p))
+    return joined(groups, cuts, on).withColumn("__part", part).drop("__cuts")
 
 
 def running(groups: DataFrame, on: list[str], value: str, sums: list[str]) -> DataFrame:
