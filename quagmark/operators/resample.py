@@ -14,8 +14,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quagmark.operators.stats import corr
+from quagmark.operators.stats import corr, joined
+from quagmark.session import checkpointed
 
 
 def shift_null(df: DataFrame, on: list[str], order: str, x: str, y: str, min_shift: int = 3) -> DataFrame:
@@ -117,19 +119,33 @@ def matched_zones(cells: DataFrame, row: str, col: str, n_target: int, n_referen
 
     Around a drawn cell the nearest cells make one patch, which a line in a drawn direction cuts in two (``target`` and
     ``reference``); ties go by row and column. With fewer cells than wanted there are no trials.
+
+    The drawn cells go to all cells as one row. Rings around them, each about twice as large as all within it, are counted, and only
+    cells of the rings that a patch reaches are sorted, so that no task holds the cells of a trial and they are not broadcast.
     """
     need = n_target + n_reference
-    c = cells.select(row, col).dropna().distinct()
+    c = checkpointed(cells.select(row, col).dropna().distinct())
     # a trial's seed is the cell whose hash with the trial is least: a partial minimum, no cell is moved
     key = F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("trial").cast("string"), F.col(row).cast("string"), F.col(col).cast("string")))
     every = c.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(n_trials - 1))))
     seeds = every.groupBy("trial").agg(F.min(F.struct(key.alias("key"), F.col(row).alias("r"), F.col(col).alias("c"))).alias("s"), F.count("*").alias("__n")).where(F.col("__n") >= need)
     angle = uniform(seed, F.col("trial")) / float(1 << 32) * math.pi
-    far = every.join(seeds.select("trial", "s.r", "s.c", angle.alias("angle")), "trial")
-    d2 = (F.col(row) - F.col("r")) * (F.col(row) - F.col("r")) + (F.col(col) - F.col("c")) * (F.col(col) - F.col("c"))
+    seeds = checkpointed(seeds.select("trial", F.col("s.r").alias("__r"), F.col("s.c").alias("__c"), angle.alias("__angle")))
+    # squares of whole numbers in 64 bits
+    wide = lambda k, of: F.col(k).cast("long") if isinstance(cells.schema[of].dataType, T.IntegralType) else F.col(k)
+    dr, dc = wide(row, row) - wide("__r", row), wide(col, col) - wide("__c", col)
+
+    def around(seeds: DataFrame) -> DataFrame:
+        each = joined(c, seeds.agg(F.collect_list(F.struct(*seeds.columns)).alias("__s")), []).select(row, col, F.explode("__s").alias("__s")).select(row, col, "__s.*")
+        return each.withColumn("__d2", dr * dr + dc * dc).withColumn("__ring", F.floor(F.log2(F.col("__d2") + 1)))
+
+    within = Window.partitionBy("trial").orderBy("__ring").rowsBetween(Window.unboundedPreceding, -1)
+    rings = around(seeds).groupBy("trial", "__ring").agg(F.count("*").alias("__n")).withColumn("__within", F.coalesce(F.sum("__n").over(within), F.lit(0)))
+    reach = rings.where(F.col("__within") < need).groupBy("trial").agg(F.max("__ring").alias("__reach"))
     w = Window.partitionBy("trial")
-    patch = far.withColumn("__k", F.row_number().over(w.orderBy(d2, row, col))).where(F.col("__k") <= need)
-    along = F.round(F.col(row) * F.cos("angle") + F.col(col) * F.sin("angle"), 6)
+    near = around(seeds.join(reach, "trial")).where("__ring <= __reach")
+    patch = near.withColumn("__k", F.row_number().over(w.orderBy("__d2", row, col))).where(F.col("__k") <= need)
+    along = F.round(F.col(row) * F.cos("__angle") + F.col(col) * F.sin("__angle"), 6)
     half = patch.withColumn("__k", F.row_number().over(w.orderBy(along, row, col)))
     return half.select("trial", row, col, F.when(F.col("__k") <= n_target, F.lit("target")).otherwise(F.lit("reference")).alias("zone"))
 

@@ -151,7 +151,8 @@ z AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY trial ORDER BY round(r
 def null_zones(spark: SparkSession, d: str) -> DataFrame:
     """The null distribution of a difference of zone means, from patches of the real zones' sizes."""
     g = grid(spark, d)
-    z = resample.matched_zones(g.where("size > 10"), "row", "col", 20, 40, 20, 5).join(g, ["row", "col"])
+    # 60 cells a trial at most: these are broadcast, not the grid
+    z = F.broadcast(resample.matched_zones(g.where("size > 10"), "row", "col", 20, 40, 20, 5)).join(g, ["row", "col"])
     mean = lambda k: F.avg(F.when(F.col("zone") == k, F.col("v")))
     return rounded(z.groupBy("trial").agg((mean("target") - mean("reference")).alias("difference"), F.count_if(F.col("zone") == "target").alias("n_target"), F.count_if(F.col("zone") == "reference").alias("n_reference")), 5)
 

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quagmark.operators import contracts, hydro, kernels, pairs, resample, spatial, stats, temporal
+from quagmark.plans import registry
 from quagmark.streaming import live
 
 
@@ -137,6 +140,47 @@ def test_matched_zones_have_the_sizes_and_are_compact(spark):
     assert not out.duplicated(["trial", "row", "col"]).any() and resample.matched_zones(cells, "row", "col", 100, 100, 3).count() == 0
 
 
+def broadcast_rows(df):
+    """Rows of every broadcast of a frame that has run."""
+    out, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "BroadcastExchangeExec":
+            out.append(node.metrics().get("numOutputRows").get().value())
+        inner = node.children() if not kind.endswith("QueryStageExec") else None
+        todo += [inner.apply(k) for k in range(inner.size())] if inner is not None else [node.plan()]
+        todo += [node.executedPlan()] if kind == "AdaptiveSparkPlanExec" else []
+    return out
+
+
+def test_null_zones_do_not_broadcast_the_cells(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    rows = [(k, "n", "b", "t", int(rng.integers(1, 51)), float(rng.integers(900, 2000))) for k in range(4000)]
+    frame(spark, rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    df = registry.queries()["null_zones"](spark, str(tmp_path))
+    got = sorted(tuple(r[c] for c in ("trial", "difference", "n_target", "n_reference")) for r in df.collect())
+    sent = broadcast_rows(df)
+    assert sent and max(sent) <= 20 * 60
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    theirs = sorted(con.execute(f"SELECT trial, difference, n_target, n_reference FROM ({registry.oracle_sql()['null_zones']})").fetchall())
+    assert [(r[0], *r[2:]) for r in got] == [(r[0], *r[2:]) for r in theirs] and [r[1] for r in got] == pytest.approx([r[1] for r in theirs]) and len(got) == 20
+
+
+def test_matched_zones_of_scattered_cells(spark):
+    rng = random.Random(9)
+    cells = sorted({(rng.choice([0, 5, 70_000, 2_000_000]) + rng.randrange(9), rng.choice([0, 90_000]) + rng.randrange(6)) for _ in range(150)})
+    out = resample.matched_zones(frame(spark, cells, "row int, col int"), "row", "col", 20, 30, 6, 3).collect()
+    md5 = lambda *x: hashlib.md5("-".join(map(str, x)).encode()).hexdigest()
+    for t in range(6):
+        r0, c0 = min(cells, key=lambda x: (md5(3, t, *x), x))
+        patch = sorted(cells, key=lambda x: ((x[0] - r0) ** 2 + (x[1] - c0) ** 2, x))[:50]
+        angle = int(md5(3, t)[:8], 16) / 2**32 * np.pi
+        along = sorted(patch, key=lambda x: (round(x[0] * np.cos(angle) + x[1] * np.sin(angle), 6), x))
+        assert {(r.row, r.col): r.zone for r in out if r.trial == t} == {x: "target" if k < 20 else "reference" for k, x in enumerate(along)}
+
+
 def test_two_sights_without_spread_are_the_solution(spark):
     east, up = np.array([2.0, -1.0]), np.array([5.0, 3.0])
     a, b = -0.6 * east + 0.8 * up, 0.65 * east + 0.75 * up
