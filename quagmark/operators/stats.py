@@ -253,7 +253,8 @@ def wilcoxon(df: DataFrame, on: list[str], delta: str) -> DataFrame:
     r = ranked(d, on, "__a", "__r", "__t")
     t = F.col("__t").cast("double")
     g = r.groupBy(*on).agg(F.count("*").alias("n"), F.sum(F.when(F.col(delta) > 0, F.col("__r")).otherwise(0.0)).alias("w_plus"), F.sum(F.when(F.col(delta) < 0, F.col("__r")).otherwise(0.0)).alias("w_minus"), F.sum(t * t - 1).alias("__ties"))
-    n = F.col("n")
+    # a double: the cube of 1.7 million is beyond 64 bits
+    n = F.col("n").cast("double")
     z = F.abs(F.col("w_plus") - n * (n + 1) / 4) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - F.col("__ties") / 48)
     exact = (n <= EXACT_WILCOXON) & (F.col("__ties") == 0)
     g = g.withColumn("__e", _exact_p(True)(F.when(exact, n), F.least("w_plus", "w_minus")))

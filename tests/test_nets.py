@@ -92,6 +92,18 @@ def test_exact_p_of_signed_ranks(spark):
     assert tied.p == pytest.approx(2 * (1 - 0.5 * (1 + np.vectorize(__import__("math").erf)(z / 2**0.5))), abs=1e-6)
 
 
+def test_signed_ranks_of_millions(spark):
+    n = 2_000_000
+    got = stats.wilcoxon(spark.range(0, n, 1, 4).select((F.when(F.col("id") % 2000 < 1001, 1.0).otherwise(-1.0) * (1 + F.col("id") % 4)).alias("d")), [], "d").first()
+    k = np.arange(n)
+    size = 1 + k % 4
+    rank = (size - 1) * n // 4 + (n // 4 + 1) / 2
+    plus = rank[k % 2000 < 1001].sum()
+    z = abs(plus - n * (n + 1) / 4) / np.sqrt(n * (n + 1.0) * (2 * n + 1) / 24 - 4 * ((n / 4) ** 3 - n / 4) / 48)
+    assert (got.n, got.w_plus, got.w_minus) == (n, plus, rank.sum() - plus) and 0.01 < got.p < 0.99
+    assert got.p == pytest.approx(2 * (1 - 0.5 * (1 + np.vectorize(__import__("math").erf)(z / 2**0.5))), abs=1e-6)
+
+
 def test_exact_p_of_kendall(spark):
     y = [1.0, 3.0, 2.0, 5.0, 4.0, 6.0]
     got = stats.theil_sen(frame(spark, [(float(i), v) for i, v in enumerate(y)], "x double, y double"), [], "x", "y").first()
